@@ -47,10 +47,10 @@ def fold_events(events: DataFrame) -> DataFrame:
     last = F.array_max(F.transform("log", lambda x, i: F.when(x.kind.isin("message", "edit", "regenerate"), i + 1).otherwise(1)))
     kept = F.slice("log", last, F.size("log"))
     text = F.array_join(F.transform(kept, lambda x: F.when(x.kind == "regenerate", "").otherwise(x.text)), "")
-    role = F.coalesce(F.element_at(F.filter(F.transform("log", lambda x: x.role), lambda r: r.isNotNull()), -1), F.lit(""))
+    role = F.coalesce(F.try_element_at(F.filter(F.transform("log", lambda x: x.role), lambda r: r.isNotNull()), F.lit(-1)), F.lit(""))
     whole = F.filter("log", lambda x: x.kind == "message")
     earlier = F.transform(F.slice(whole, 1, F.greatest(F.size(whole) - 1, F.lit(0))), lambda x: F.struct(x.seq.alias("seq"), F.coalesce(x.role, F.lit("")).alias("role"), x.text.alias("text")))
-    final = F.struct(F.when(F.size(whole) > 1, F.element_at(whole, -1).seq).otherwise(F.element_at("log", 1).seq).alias("seq"), role.alias("role"), text.alias("text"))
+    final = F.struct(F.when(F.size(whole) > 1, F.try_element_at(whole, F.lit(-1)).seq).otherwise(F.element_at("log", 1).seq).alias("seq"), role.alias("role"), text.alias("text"))
     return logs.select("conv_id", "msg", F.posexplode(F.concat(earlier, F.array(final))).alias("nth", "m")).select("conv_id", F.struct("m.seq", "msg", "nth").alias("position"), "m.role", "m.text")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from factorspark.llm import bpe, chat, mih
+from factorspark.llm import bpe, chat, mih, packing, warc
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_hamming_top_k": mih.op4_hamming_top_k,
+    "op6_pack": packing.op6_pack,
+    "op7_warc": warc.op7_warc,
 }
-ORACLES = {"op2_chat_format": chat.ORACLE, "op4_hamming_top_k": mih.ORACLE}
+ORACLES = {"op2_chat_format": chat.ORACLE, "op4_hamming_top_k": mih.ORACLE, "op7_warc": warc.ORACLE}

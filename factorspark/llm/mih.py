@@ -68,7 +68,8 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     while True:
         probes = open_.select("q", F.posexplode(F.array(*[_segment(F.col("q"), s, bits) for s in range(m)])).alias("seg", "own"))
         probes = probes.select("q", "seg", F.explode(_probes(F.col("own"), low, high, bits)).alias("value"))
-        met = probes.join(index, ["seg", "value"]).withColumn("x", F.col("q").bitwiseXOR(F.col("code")))
+        # Statistics do not see that probes multiply rows: without the hint they would be broadcast.
+        met = probes.hint("merge").join(index, ["seg", "value"]).withColumn("x", F.col("q").bitwiseXOR(F.col("code")))
         gaps = F.array(*[F.bit_count(_segment(F.col("x"), s, bits)) for s in range(m)])
         met = met.where(F.array_position(gaps, F.array_min(gaps)) == F.col("seg") + 1).select("q", "code", "least", "n", F.bit_count("x").alias("hamming"))
         if found is not None:

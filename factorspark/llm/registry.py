@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from factorspark.llm import bpe, chat, mih, packing, warc
+from factorspark.llm import bpe, chat, mih, minhash, packing, warc
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_hamming_top_k": mih.op4_hamming_top_k,
+    "op5_near_duplicates": minhash.op5_near_duplicates,
     "op6_pack": packing.op6_pack,
     "op7_warc": warc.op7_warc,
 }

@@ -61,30 +61,32 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     bits = 64 // m
     asked = materialize(queries.where(F.col(id_col).isNotNull() & F.col(code_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(code_col).alias("q")).distinct(), "mih-queries")
     index = entries.select("code", F.col("ids")[0].alias("least"), F.size("ids").alias("n"), F.posexplode(F.array(*[_segment(F.col("code"), s, bits) for s in range(m)])).alias("seg", "value"))
-    open_ = asked.select("q").distinct()
+    open_ = asked.select("q", F.lit(64).alias("bound")).distinct()
     found: DataFrame | None = None
     answers: list[DataFrame] = []
-    low, high = 0, min(2, bits)
+    low, high = 0, 1
     while True:
-        probes = open_.select("q", F.posexplode(F.array(*[_segment(F.col("q"), s, bits) for s in range(m)])).alias("seg", "own"))
-        probes = probes.select("q", "seg", F.explode(_probes(F.col("own"), low, high, bits)).alias("value"))
+        probes = open_.select("q", "bound", F.posexplode(F.array(*[_segment(F.col("q"), s, bits) for s in range(m)])).alias("seg", "own"))
+        probes = probes.select("q", "bound", "seg", F.explode(_probes(F.col("own"), low, high, bits)).alias("value"))
         # Statistics do not see that probes multiply rows: without the hint they would be broadcast.
         met = probes.hint("merge").join(index, ["seg", "value"]).withColumn("x", F.col("q").bitwiseXOR(F.col("code")))
         gaps = F.array(*[F.bit_count(_segment(F.col("x"), s, bits)) for s in range(m)])
-        met = met.where(F.array_position(gaps, F.array_min(gaps)) == F.col("seg") + 1).select("q", "code", "least", "n", F.bit_count("x").alias("hamming"))
+        met = met.where((F.array_position(gaps, F.array_min(gaps)) == F.col("seg") + 1) & (F.bit_count("x") <= F.col("bound"))).select("q", "code", "least", "n", F.bit_count("x").alias("hamming"))
         if found is not None:
             met = met.unionByName(found.join(open_, "q", "left_semi"))
         best = Window.partitionBy("q").orderBy("hamming", "least")
         found = materialize(met.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= need).drop("nth"), "mih-found")
         covered = m * (high + 1) - 1
         # How many ids are within the covered distance: if need of them, then what is not met yet is farther.
-        within = found.groupBy("q").agg(F.sum(F.when(F.col("hamming") <= covered, F.col("n")).otherwise(0)).alias("within"))
+        within = found.groupBy("q").agg(F.sum(F.when(F.col("hamming") <= covered, F.col("n")).otherwise(0)).alias("within"), F.when(F.sum("n") >= need, F.max("hamming")).alias("kth"))
         if high >= bits:
             answers.append(found)
             break
         done = within.where(F.col("within") >= need).select("q")
         answers.append(found.join(done, "q", "left_semi"))
-        open_ = materialize(open_.join(done, "q", "left_anti"), "mih-open")
+        # Codes farther than the kth met so far need not be looked at again.
+        open_ = open_.join(within, "q", "left").where(F.coalesce("within", F.lit(0)) < need).select("q", F.coalesce("kth", F.lit(64)).alias("bound"))
+        open_ = materialize(open_, "mih-open")
         if not open_.count():
             break
         low, high = high + 1, high + 1

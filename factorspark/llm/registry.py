@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factorspark.llm import bpe, chat, mih, minhash, packing, warc
+from factorspark.llm import bpe, chat, mih, minhash, packing, substring, warc
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
@@ -11,5 +11,6 @@ QUERIES = {
     "op5_near_duplicates": minhash.op5_near_duplicates,
     "op6_pack": packing.op6_pack,
     "op7_warc": warc.op7_warc,
+    "op10_substring_dedup": substring.op10_substring_dedup,
 }
 ORACLES = {"op2_chat_format": chat.ORACLE, "op4_hamming_top_k": mih.ORACLE, "op7_warc": warc.ORACLE}

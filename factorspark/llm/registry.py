@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from factorspark.llm import bpe, chat, mih, minhash, packing, substring, warc
+from factorspark.llm import bpe, chat, forest, mih, minhash, packing, substring, warc
 
 QUERIES = {
+    "op1_forest": forest.op1_forest,
     "op2_chat_format": chat.op2_chat_format,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_hamming_top_k": mih.op4_hamming_top_k,

@@ -8,6 +8,7 @@ next window, from block to block within a shard, and (by prefix sums over the sh
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections import deque
@@ -26,7 +27,8 @@ END_ID = 1
 SHARD_TOKENS = 6_000_000
 BLOCK_TOKENS = 3_000_000
 LEAST_PIECE = 96
-_MEMO = 400_000
+_MEMO = 1_000_000
+_TOGETHER, _LONG_WORD = 200, 64
 _GROUP = 1 << 21
 
 
@@ -44,24 +46,72 @@ class WordMemo:
     """Ids of whole texts by a tokenizer that drops white space and lower-cases: each distinct word is encoded once.
 
     Words are cut at ASCII white space, over which no match of the tokenizer's pattern reaches, and ASCII letters
-    are lowered first, as the tokenizer itself does. The memo is emptied when it is full, so memory is bounded.
+    are lowered first, as the tokenizer itself does. Words of lower-case letters alone are one match each, which ends
+    in the only id that closes a word, so many of them are encoded in one call and their ids cut there. A full stop
+    or comma after such a word is a match of its own. The memo lives as long as the Python worker, is emptied
+    when it is full and keeps no very long words, so its memory is bounded.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.known = tokenizer(path), {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[bytes]) -> None:
+        plain, pairs, rest = set(), [], []
+        for w in new:
+            core = w[:-1] if w[-1:] in (b".", b",") else w
+            s = core.decode("utf-8", "replace")
+            if core and len(w) <= _LONG_WORD and s.isalpha() and (s.isascii() or (s == s.lower() and unicodedata.is_normalized("NFC", s))):
+                plain.add(core)
+                if core is not w:
+                    pairs.append((w, core))
+            else:
+                rest.append(w)
+        known = self.known
+        todo = list(plain - known.keys())
+        for i in range(0, len(todo), 64 * _TOGETHER):
+            groups = [todo[j : j + _TOGETHER] for j in range(i, min(len(todo), i + 64 * _TOGETHER), _TOGETHER)]
+            for group, ids in zip(groups, self._encode([b" ".join(g).decode() for g in groups]), strict=True):
+                ids = np.array(ids, dtype="<u2")
+                ends = ((np.flatnonzero(self.closes[ids]) + 1) * 2).tolist()
+                if len(ends) == len(group):
+                    raw, at = ids.tobytes(), 0
+                    for w, end in zip(group, ends, strict=True):
+                        known[w] = raw[at:end]
+                        at = end
+                else:
+                    rest += group
+        for i in range(0, len(rest), 20_000):
+            for w, ids in zip(rest[i : i + 20_000], self._encode([w.decode() for w in rest[i : i + 20_000]]), strict=True):
+                known[w] = array("H", ids).tobytes()
+        marks = {m: array("H", ids).tobytes() for m, ids in zip((b".", b","), self._encode([".", ","]), strict=True)}
+        for w, core in pairs:
+            known[w] = known[core] + marks[w[-1:]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
         split = [t.lower().split() for t in texts]
         if len(self.known) > _MEMO:
-            self.known = {}
-        new = list({w for words in split for w in words} - self.known.keys())
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = array("H", e.ids).tobytes()
+            self.known.clear()
+        new = set().union(*split) - self.known.keys()
+        if new:
+            self._learn(new)
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, words)) for words in split]
+        for w in new:
+            if len(w) > _LONG_WORD:
+                del self.known[w]
+        return out
+
+
+@lru_cache(maxsize=2)
+def word_memo(path: str) -> WordMemo:
+    return WordMemo(path)
 
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -70,7 +120,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", source_col: str
     end = array("H", [END_ID]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordMemo(path)
+        memo = word_memo(path)
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             i = 0

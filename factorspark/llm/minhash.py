@@ -133,8 +133,8 @@ class Block:
         return out
 
 
-def _links(rows: DataFrame, keys: list[str], wide: str, percent: int) -> DataFrame:
-    """(u, v): confirmed links inside the groups of keys; rows of role 0 are compared with all, others only with those if there are any."""
+def _links(rows: DataFrame, keys: list[str], wide: str, percent: int, probed: bool = False) -> DataFrame:
+    """(u, v): confirmed links inside the groups of keys; probed: only pairs with a row of role 0 are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets, bands, roles = None, [], [], [], []
@@ -144,7 +144,7 @@ def _links(rows: DataFrame, keys: list[str], wide: str, percent: int) -> DataFra
                 order = sorted(range(len(ids)), key=lambda k: roles[k])
                 regs = np.array([bands[k] for k in order], dtype=np.int64).view(np.uint16)
                 probes = sum(r == 0 for r in roles)
-                found = Block([ids[k] for k in order], [sets[k] for k in order], regs, percent).edges(probes or None)
+                found = Block([ids[k] for k in order], [sets[k] for k in order], regs, percent).edges(probes if probed else None)
                 if found:
                     u, v = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], names=["u", "v"])
@@ -225,28 +225,88 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
+def _alone(large: DataFrame, wide: str) -> DataFrame:
+    """(doc_id, alone): how many shingles of a set no other set of its component has, for sets that have any.
+
+    Blocks send what they hold packed, cut by hash range, to where one range of a component is counted: rows grow
+    with blocks, not with shingles, and a range holds about as much as a block.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets, blocks = None, [], [], 1
+
+        def rows():
+            flat = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+            values, first, counts = np.unique(flat, return_index=True, return_counts=True)
+            owner = np.where(counts == 1, owner[first], -1).astype("<i4")
+            part = np.searchsorted(np.arange(1, blocks) * (2.0**64 / blocks), values.astype(np.float64), side="right")
+            for s in np.unique(part).tolist():
+                at = part == s
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]], kind), pa.array([s], pa.int32()), pa.array([ids], pa.list_(kind)), pa.array([values[at].tobytes()], pa.binary()), pa.array([owner[at].tobytes()], pa.binary())], names=["cluster", "part", "ids", "shingle", "owner"])
+
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            for cluster, block, blocks_, doc, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if (cluster, block) != now:
+                    if sets:
+                        yield from rows()
+                    now, ids, sets, blocks = (cluster, block), [], [], blocks_
+                ids.append(doc)
+                sets.append(np.frombuffer(raw, "<u8"))
+        if sets:
+            yield from rows()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def rows():
+            values, inverse, counts = np.unique(np.concatenate([v for _, v, _ in held]), return_inverse=True, return_counts=True)
+            single, at, ids, alone = counts[inverse] == 1, 0, [], []
+            for own, v, owner in held:
+                hit = owner[single[at : at + len(v)] & (owner >= 0)]
+                at += len(v)
+                n = np.bincount(hit, minlength=len(own))
+                ids += [own[i] for i in np.flatnonzero(n)]
+                alone += n[n > 0].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(alone, pa.int64())], names=["doc_id", "alone"])
+
+        for batch in batches:
+            kind = batch.schema.field("cluster").type
+            for cluster, part, ids, values, owner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cluster, part) != now:
+                    if held:
+                        yield from rows()
+                    now, held = (cluster, part), []
+                held.append((ids, np.frombuffer(values, "<u8"), np.frombuffer(owner, "<i4")))
+        if held:
+            yield from rows()
+
+    by_block = large.select("cluster", "block", "blocks", "doc_id", "shingles").repartition("cluster", "block").sortWithinPartitions("cluster", "block")
+    sent = by_block.mapInArrow(send, f"cluster {wide}, part int, ids array<{wide}>, shingle binary, owner binary")
+    counted = sent.repartition("cluster", "part").sortWithinPartitions("cluster", "part").mapInArrow(count, f"doc_id {wide}, alone long")
+    return counted.groupBy("doc_id").agg(F.sum("alone").alias("alone"))
+
+
 def _across_blocks(large: DataFrame, links: DataFrame, wide: str, percent: int) -> DataFrame:
-    """Links between different blocks of a component that the pivots have not already joined."""
+    """Links between different blocks of a component that the pivots have not already joined.
+
+    What is left is compared, in slices of bounded size, with every other block of its component.
+    """
     part = components(links).select(F.col("id").alias("doc_id"), "component")
     state = large.join(part, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
-    joined = state.where("doc_id = pivot0").select("cluster", F.col("part").alias("main")).distinct()
-    # A shingle that one set alone has counts for that set: no join back is needed.
-    shingle = large.select("cluster", "doc_id", F.explode(_longs("shingles")).alias("s"))
-    alone = shingle.groupBy("cluster", "s").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    rest = state.join(materialize(joined, "nd-main"), "cluster").where("part <> main").join(alone, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+    main = materialize(state.where("doc_id = pivot0").select("cluster", F.col("part").alias("main")).distinct(), "nd-main")
+    rest = state.join(main, "cluster").where("part <> main").join(_alone(large, wide), "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
     # The smallest partner that could still have all of common: no smaller union is possible.
     partner = F.greatest("least", "common")
     rest = rest.where(100 * F.col("common") >= percent * (F.col("n") + partner - F.col("common")))
-    probes = rest.select("cluster", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "doc_id", F.lit(0).alias("role"), "bands", "shingles", F.col("block").alias("own"))
-    probes = materialize(probes.where("block <> own").drop("own"), "nd-probes")
-    asked = probes.select("cluster", "block").distinct()
-    base = large.join(asked, ["cluster", "block"], "left_semi").select("cluster", "block", "doc_id", F.lit(1).alias("role"), "bands", "shingles")
-    return materialize(_links(base.unionByName(probes), ["cluster", "block"], wide, percent), "nd-across")
-
-
-def _longs(column: str):
-    """The little-endian longs of a binary column, as an array; only the equality of its entries matters, so byte order is left."""
-    return F.expr(f"transform(sequence(0, cast(octet_length({column}) / 8 as int) - 1), i -> substring({column}, i * 8 + 1, 8))")
+    rest = materialize(rest.select("cluster", "block", "blocks", "doc_id", "n", "bands", "shingles"), "nd-rest")
+    slices_ = rest.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("slices"))
+    slices_ = materialize(slices_, "nd-slices")
+    probes = rest.join(slices_, "cluster").select("cluster", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"), F.pmod(F.xxhash64("doc_id", F.lit(3)), "slices").cast("int").alias("slice"), "doc_id", F.lit(0).alias("role"), "bands", "shingles", "block")
+    probes = probes.where("other <> block").drop("block").withColumnRenamed("other", "block")
+    base = large.join(slices_, "cluster").select("cluster", "block", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), "doc_id", F.lit(1).alias("role"), "bands", "shingles")
+    return materialize(_links(base.unionByName(probes), ["cluster", "block", "slice"], wide, percent, probed=True), "nd-across")
 
 
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factorspark.llm import bpe, chat, forest, mih, minhash, packing, substring, toxicity, warc
+from factorspark.llm import bpe, chat, forest, mih, minhash, packing, quality, substring, toxicity, warc
 
 QUERIES = {
     "op1_forest": forest.op1_forest,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_near_duplicates": minhash.op5_near_duplicates,
     "op6_pack": packing.op6_pack,
     "op7_warc": warc.op7_warc,
+    "op8_quality": quality.op8_quality,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }

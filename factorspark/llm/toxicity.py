@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     ids = sample.select("doc_id", "toxic").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
     y = ids["toxic"].to_numpy(np.float64)
     n, positive = len(y), y.sum()
-    counts = rows.groupBy("hash").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where("t >= 3")
+    counts = rows.groupBy("hash").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where("t >= 2")
     lift = F.log((F.col("t") + 0.1) / (F.col("n") - F.col("t") + 0.1)) - float(np.log((positive + 1) / (n - positive + 1)))
     best = counts.withColumn("lift", lift).where("lift > 1").withColumn("weight", F.col("lift") * F.sqrt("t")).orderBy(F.desc("weight"), "hash").limit(FEATURES)
     best = best.select("hash", "lift").toPandas().sort_values("hash", key=lambda s: s.to_numpy(np.int64).view(np.uint64))

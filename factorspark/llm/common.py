@@ -119,8 +119,11 @@ def scan_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each word, equal for equal words; white space after a word doesn't count."""
+def hash_words(data: np.ndarray, starts: np.ndarray, mixed: bool = True) -> np.ndarray:
+    """A 64-bit value for each word, equal for equal words; white space after a word doesn't count.
+
+    Not mixed, it is the sum of BYTE_VALUE[byte] * powers[place in the word].
+    """
     out = np.empty(len(starts), dtype=np.uint64)
     i, n = 0, len(starts)
     while i < n:
@@ -131,7 +134,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         values = BYTE_VALUE[data[a:b]] * powers(int(within.max()) + 1)[within]
         out[i:j] = np.add.reduceat(values, own)
         i = j
-    return mix(out)
+    return mix(out) if mixed else out
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -21,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factorspark.llm.common import materialize, table, text_bytes
+from factorspark.llm.common import BYTE_VALUE, LOWER, hash_words, materialize, mix, powers, scan_words, slices, table, text_bytes
 
 END_ID = 1
 SHARD_TOKENS = 6_000_000
 BLOCK_TOKENS = 3_000_000
 LEAST_PIECE = 96
-_MEMO = 1_000_000
-_TOGETHER, _LONG_WORD = 200, 64
-_GROUP = 1 << 21
+_MEMO = 2_000_000
+_TOGETHER = 200
+_GROUP = 3 << 20
 
 
 @lru_cache(maxsize=2)
@@ -46,67 +45,120 @@ class WordMemo:
     """Ids of whole texts by a tokenizer that drops white space and lower-cases: each distinct word is encoded once.
 
     Words are cut at ASCII white space, over which no match of the tokenizer's pattern reaches, and ASCII letters
-    are lowered first, as the tokenizer itself does. Words of lower-case letters alone are one match each, which ends
-    in the only id that closes a word, so many of them are encoded in one call and their ids cut there. A full stop
-    or comma after such a word is a match of its own. The memo lives as long as the Python worker, is emptied
-    when it is full and keeps no very long words, so its memory is bounded.
+    are lowered first, as the tokenizer itself does. A full stop or comma after ASCII letters is a match of its own
+    and is put aside. Words of lower-case letters alone are one match each, which ends in the only id that closes a
+    word, so many of them are encoded in one call and their ids cut there.
+
+    The memo holds sorted runs of word keys (a 64-bit hash, checked against the first eight bytes and the length)
+    and one pool of ids, some 30 bytes a word. It lives as long as the Python worker and is emptied when it is full.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.known = tokenizer(path), {}
+        self.tokenizer = tokenizer(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = np.zeros(256, dtype="<u2")
+        for m in (".", ","):
+            (self.marks[ord(m)],) = self.tokenizer.encode(m, add_special_tokens=False).ids
+        self._clear()
+
+    def _clear(self) -> None:
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []  # sorted keys; their check, place in the pool and number of ids
+        self.pool, self.used, self.words = np.empty(1 << 20, dtype="<u2"), 0, 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[bytes]) -> None:
-        plain, pairs, rest = set(), [], []
-        for w in new:
-            core = w[:-1] if w[-1:] in (b".", b",") else w
-            s = core.decode("utf-8", "replace")
-            if core and len(w) <= _LONG_WORD and s.isalpha() and (s.isascii() or (s == s.lower() and unicodedata.is_normalized("NFC", s))):
-                plain.add(core)
-                if core is not w:
-                    pairs.append((w, core))
-            else:
-                rest.append(w)
-        known = self.known
-        todo = list(plain - known.keys())
-        for i in range(0, len(todo), 64 * _TOGETHER):
-            groups = [todo[j : j + _TOGETHER] for j in range(i, min(len(todo), i + 64 * _TOGETHER), _TOGETHER)]
-            for group, ids in zip(groups, self._encode([b" ".join(g).decode() for g in groups]), strict=True):
-                ids = np.array(ids, dtype="<u2")
-                ends = ((np.flatnonzero(self.closes[ids]) + 1) * 2).tolist()
-                if len(ends) == len(group):
-                    raw, at = ids.tobytes(), 0
-                    for w, end in zip(group, ends, strict=True):
-                        known[w] = raw[at:end]
-                        at = end
-                else:
-                    rest += group
+    def _learn(self, words: list[bytes], ascii_letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes words into the pool; their places and numbers of ids."""
+        plain = ascii_letters.copy()
+        for k in np.flatnonzero(~plain).tolist():
+            s = words[k].decode("utf-8", "replace")
+            plain[k] = s.isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s)
+        at, number = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        found: list[np.ndarray] = []
+        total, rest = self.used, np.flatnonzero(~plain).tolist()
+        some = np.flatnonzero(plain)
+        groups = [some[i : i + _TOGETHER] for i in range(0, len(some), _TOGETHER)]
+        for group, ids in zip(groups, self._encode([b" ".join([words[k] for k in g.tolist()]).decode() for g in groups]), strict=True):
+            ids = np.array(ids, dtype="<u2")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(group):
+                rest += group.tolist()
+                continue
+            number[group] = np.diff(ends, prepend=0)
+            at[group] = total + ends - number[group]
+            total += len(ids)
+            found.append(ids)
         for i in range(0, len(rest), 20_000):
-            for w, ids in zip(rest[i : i + 20_000], self._encode([w.decode() for w in rest[i : i + 20_000]]), strict=True):
-                known[w] = array("H", ids).tobytes()
-        marks = {m: array("H", ids).tobytes() for m, ids in zip((b".", b","), self._encode([".", ","]), strict=True)}
-        for w, core in pairs:
-            known[w] = known[core] + marks[w[-1:]]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 16-bit ids of each text."""
-        split = [t.lower().split() for t in texts]
-        if len(self.known) > _MEMO:
-            self.known.clear()
-        new = set().union(*split) - self.known.keys()
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for w in new:
-            if len(w) > _LONG_WORD:
-                del self.known[w]
-        return out
+            for k, ids in zip(rest[i : i + 20_000], self._encode([words[k].decode("utf-8", "replace") for k in rest[i : i + 20_000]]), strict=True):
+                at[k], number[k] = total, len(ids)
+                total += len(ids)
+                found.append(np.array(ids, dtype="<u2"))
+        if total > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(max(total - self.used, len(self.pool)), "<u2")])
+        if found:
+            self.pool[self.used : total] = np.concatenate(found)
+        self.used = total
+        return at, number
+
+    def _add(self, keys: np.ndarray, facts: np.ndarray) -> None:
+        self.runs.append((keys, facts))
+        self.words += len(keys)
+        while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
+            (a, x), (b, y) = self.runs[-2:]
+            keys = np.concatenate([a, b])
+            order = np.argsort(keys, kind="stable")
+            self.runs[-2:] = [(keys[order], np.concatenate([x, y], axis=1)[:, order])]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of consecutive texts, each with the end id after it, and their n + 1 offsets."""
+        if self.words > _MEMO or self.used > 8 * _MEMO:
+            self._clear()
+        low = LOWER[data]
+        starts, ends, bounds = scan_words(low, offsets)
+        n_texts = len(offsets) - 1
+        if not len(starts):
+            return np.full(n_texts, end, dtype="<u2"), np.arange(n_texts + 1)
+        length = ends - starts
+        letters = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122), dtype=np.int32)])
+        letters = letters[ends] - letters[starts]
+        tail = low[ends - 1]
+        marked = (length > 1) & (letters == length - 1) & ((tail == 46) | (tail == 44))
+        h = hash_words(low, starts, mixed=False)
+        h[marked] -= BYTE_VALUE[tail[marked]] * powers(int(length.max()))[length[marked] - 1]
+        core = length - marked
+        _, at, inverse = np.unique(mix(h), return_index=True, return_inverse=True)
+        keys, first, core_ = mix(h[at]), starts[at], core[at]
+        check = core_.astype(np.uint64)
+        for j in range(8):
+            check = (check << np.uint64(8)) ^ (check >> np.uint64(56)) ^ np.where(j < core_, low[np.minimum(first + j, len(low) - 1)], 0).astype(np.uint64)
+        check = check.astype(np.int64)
+        place, number = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for run, facts in self.runs:
+            left = np.flatnonzero(place < 0)
+            i = np.minimum(np.searchsorted(run, keys[left]), len(run) - 1)
+            hit = (run[i] == keys[left]) & (facts[0][i] == check[left])
+            place[left[hit]], number[left[hit]] = facts[1][i[hit]], facts[2][i[hit]]
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            raw = low.tobytes()
+            words = [raw[a:b] for a, b in zip(first[new].tolist(), (first + core_)[new].tolist(), strict=True)]
+            place[new], number[new] = self._learn(words, letters[at[new]] == core_[new])
+            self._add(keys[new], np.stack([check[new], place[new], number[new]]))
+        each = number[inverse]
+        count = each + marked
+        begin = np.concatenate([[0], np.cumsum(count)])
+        text = np.repeat(np.arange(n_texts), np.diff(bounds))
+        own = begin[:-1] + text  # an end id for each text before
+        out = np.empty(int(begin[-1]) + n_texts, dtype="<u2")
+        within = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        out[np.repeat(own, each) + within] = self.pool[np.repeat(place[inverse], each) + within]
+        out[(own + each)[marked]] = self.marks[tail[marked]]
+        stops = begin[bounds[1:]] + np.arange(n_texts)
+        out[stops] = end
+        return out, np.concatenate([[0], stops + 1])
 
 
 @lru_cache(maxsize=2)
@@ -117,18 +169,15 @@ def word_memo(path: str) -> WordMemo:
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(doc_id, source, n, ids): whole texts' ids and the end id. Null texts are empty, null sources are the source ''."""
     wide = dict(docs.dtypes)[id_col]
-    end = array("H", [END_ID]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo(path)
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
-            i = 0
-            while i < len(offsets) - 1:
-                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _GROUP, side="right")) - 1)
-                ids = [x + end for x in memo.encode([data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "ids"])
-                i = j
+            for i, j in slices(offsets, _GROUP):
+                ids, at = memo.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], END_ID)
+                binary = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(2 * at), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(at)), binary], names=["doc_id", "source", "n", "ids"])
 
     return docs.select(id_col, F.coalesce(F.col(source_col).cast("string"), F.lit("")), text_col).mapInArrow(run, f"doc_id {wide}, source string, n long, ids binary")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factorspark.llm.common import materialize, table
+from factorspark.llm.common import materialize, partitions, table
 
 
 def sign_code(vec: Column) -> Column:
@@ -66,7 +66,8 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     answers: list[DataFrame] = []
     low, high = 0, 1
     while True:
-        probes = open_.select("q", "bound", F.posexplode(F.array(*[_segment(F.col("q"), s, bits) for s in range(m)])).alias("seg", "own"))
+        # open_ is a small file: without an exchange one task would make all probes.
+        probes = open_.repartition(partitions(codes.sparkSession), "q").select("q", "bound", F.posexplode(F.array(*[_segment(F.col("q"), s, bits) for s in range(m)])).alias("seg", "own"))
         probes = probes.select("q", "bound", "seg", F.explode(_probes(F.col("own"), low, high, bits)).alias("value"))
         # Statistics do not see that probes multiply rows: without the hint they would be broadcast.
         met = probes.hint("merge").join(index, ["seg", "value"]).withColumn("x", F.col("q").bitwiseXOR(F.col("code")))

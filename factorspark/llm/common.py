@@ -165,13 +165,48 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+#: Up to this many edges (32 MB) a single executor task finds the components; beyond it, rounds of star steps do.
+TASK_EDGES = 2_000_000
+
+
+def _components_in_task(edges: DataFrame) -> DataFrame:
+    kind = dict(edges.dtypes)["u"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0), b.column(1)) for b in batches if b.num_rows]
+        if not got:
+            return
+        type_ = got[0][0].type
+        u, v = (np.concatenate([g[k].to_numpy(zero_copy_only=False) for g in got]) for k in (0, 1))
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = np.split(at, 2)
+        label = np.arange(len(ids))
+        while True:
+            least = np.minimum(label[a], label[b])
+            after = label.copy()
+            np.minimum.at(after, label[a], least)
+            np.minimum.at(after, label[b], least)
+            while (after[after] != after).any():
+                after = after[after]
+            if (after == label).all():
+                break
+            label = after
+        for i in range(0, len(ids), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000], type_), pa.array(ids[label[i : i + 100_000]], type_)], names=["id", "component"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, f"id {kind}, component {kind}")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) for every node of edges (u, v): component is the smallest id reachable.
 
-    Null ends and loops link nothing. Each round's edges are written to the shared folder; it ends when a
-    round leaves them as they were (every edge then points from a node to its component's smallest id).
+    Null ends and loops link nothing. Many edges are worked on in rounds, each written to the shared folder, until
+    a round leaves them as they were (every edge then points from a node to its component's smallest id); what fits
+    in a task of bounded size is one task's work.
     """
     now = materialize(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    if now.count() <= TASK_EDGES:
+        return materialize(_components_in_task(now), "cc-done")
     sums = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = sums(now)
     if seen[0]:

@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     keyed = reps.select("doc_id", F.posexplode("bands").alias("band", "value")).select("doc_id", F.xxhash64("band", "value").alias("key"))
     centres = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).where("size > 1"), "nd-centres")
     star = materialize(keyed.join(centres, "key").groupBy("doc_id", "centre").agg(F.sum("size").alias("weight")), "nd-star")
-    candidates = materialize(components(star.select(F.col("doc_id").alias("u"), F.col("centre").alias("v"))), "nd-candidates")
+    candidates = components(star.select(F.col("doc_id").alias("u"), F.col("centre").alias("v")))
 
     weight = star.groupBy("doc_id").agg(F.sum("weight").alias("weight"))
     found = candidates.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")).join(weight, "doc_id").join(reps, "doc_id")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factorspark.llm import minhash
+from factorspark.llm import common, minhash
 from factorspark.llm.common import components
 
 
@@ -82,7 +82,9 @@ def test_estimate_follows_jaccard():
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.06
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("task_edges", [0, 1_000_000])
+def test_components_of_chains_stars_and_loops(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(common, "TASK_EDGES", task_edges)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(500, 500), (None, 3), (3, None)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(70)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -205,9 +205,9 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
                     model = later_windows(exact_ids(c.data, c.starts, c.ends, c.words), single, k)
                     where = single - c.bounds[of]
                     later = (model != np.arange(len(single))) & ((ids[of] != ids[of[model]]) | (where != where[model]))
-                    spans = np.stack([ids[of[later]], where[later], where[later] + k], axis=1).astype("<i8")
+                    spans = _merged(ids[of[later]], where[later], k)
                     if len(spans):
-                        out.append((int(spans[0].sum()) % buckets, b"", spans.tobytes()))
+                        out.append((int(spans[0].sum()) % buckets, b"", spans.astype("<i8").tobytes()))
                     keep = model == np.arange(len(single))
                     single, of = single[keep], of[keep]
                     own = gram_hashes(c.words, k)[single]
@@ -248,7 +248,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
 
 
 def _later_spans(blobs: list[bytes], k: int) -> np.ndarray:
-    """(doc, start, stop) of a bucket's windows that are not the first of their kind, merged within a super-k-mer."""
+    """(doc, start, stop) of a bucket's windows that are not the first of their kind, runs of them merged."""
     low, docs, place, sizes, inner, data = (list(x) for x in zip(*map(_unpack, blobs), strict=True))
     # What a minimiser brings alone and without repetition inside needs no look at its words.
     flat = np.concatenate(low)
@@ -276,14 +276,18 @@ def _later_spans(blobs: list[bytes], k: int) -> np.ndarray:
     model = later_windows(ids, bounds[of] + within, k)
     where = place[of] + within
     later = (model != np.arange(len(of))) & ((docs[of] != docs[of[model]]) | (where != where[model]))
-    hit = np.flatnonzero(later)
-    if not len(hit):
+    return _merged(docs[of[later]], where[later], k)
+
+
+def _merged(docs: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """(doc, start, stop) of runs of windows that start one after the other; windows are given in the order of (doc, start)."""
+    if not len(starts):
         return np.zeros((0, 3), np.int64)
-    breaks = np.ones(len(hit), dtype=bool)
-    breaks[1:] = (hit[1:] != hit[:-1] + 1) | (of[hit[1:]] != of[hit[:-1]])
-    a = hit[breaks]
-    b = hit[np.append(np.flatnonzero(breaks)[1:] - 1, len(hit) - 1)]
-    return np.stack([docs[of[a]], where[a], where[b] + k], axis=1).astype(np.int64)
+    first = np.ones(len(starts), dtype=bool)
+    first[1:] = (docs[1:] != docs[:-1]) | (starts[1:] > starts[:-1] + 1)
+    begin = np.flatnonzero(first)
+    last = np.append(begin[1:] - 1, len(starts) - 1)
+    return np.stack([docs[begin], starts[begin], starts[last] + k], axis=1).astype(np.int64)
 
 
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:

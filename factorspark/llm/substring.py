@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from factorspark.llm.common import gram_hashes, hash_words, materialize, scan_words, slices, table, text_bytes
 
-K, M = 20, 4
-_CHUNK = 4 << 20
-BUCKET_BYTES = 16 << 20
+K, M = 20, 3
+_CHUNK = 8 << 20
+BUCKET_BYTES = 8 << 20
 #: A minimiser of at least this many super-k-mers, or of one in this many of all, is hot: at most HOT_KEYS can be.
 HOT_COUNT, HOT_KEYS = 2000, 1_000_000
 

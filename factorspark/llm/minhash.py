@@ -23,7 +23,7 @@ from factorspark.llm.common import LOWER, components, gram_hashes, hash_words, m
 BUCKETS, BAND = 128, 4
 MANTISSA_BITS = 10
 MARGIN = 0.2
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 128, 2_000_000
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 2**63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, BUCKETS, dtype=np.uint64)

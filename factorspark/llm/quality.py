@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(marks), "doc_id").select("quality", "text")
+    sample = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"]).select("quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,4 +16,10 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
-ORACLES = {"op2_chat_format": chat.ORACLE, "op4_hamming_top_k": mih.ORACLE, "op7_warc": warc.ORACLE}
+ORACLES = {
+    "op2_chat_format": chat.ORACLE,
+    "op4_hamming_top_k": mih.ORACLE,
+    "op5_near_duplicates": minhash.ORACLE,
+    "op7_warc": warc.ORACLE,
+    "op10_substring_dedup": substring.ORACLE,
+}

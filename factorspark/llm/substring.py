@@ -342,3 +342,15 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS start, words FROM w WHERE len(words) >= 20),
+later AS (SELECT doc_id, start FROM win QUALIFY row_number() OVER (PARTITION BY array_to_string(words[start:start + 19], ' ') ORDER BY doc_id, start) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS pos FROM later),
+word AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k USING (doc_id)
+"""

@@ -139,9 +139,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    sample = texts.join(F.broadcast(marks), "doc_id")  # at most sample_rows
+    sample = texts.join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"])  # at most sample_rows
     rows = materialize(_feature_rows(sample).distinct(), "tox-features").join(F.broadcast(marks), "doc_id")
-    ids = sample.select("doc_id", "toxic").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    ids = sample.select("doc_id", "toxic").orderBy("doc_id").toPandas()
     y = ids["toxic"].to_numpy(np.float64)
     n, positive = len(y), y.sum()
     counts = rows.groupBy("hash").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where("t >= 2")

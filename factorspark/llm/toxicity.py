@@ -187,7 +187,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import gram_hashes, hash_words, materialize, scan_words, slices, table, text_bytes
+from factorspark.llm.common import gram_hashes, hash_words, materialize, partitions, scan_words, slices, table, text_bytes
 
 K, M = 20, 3
 _CHUNK = 8 << 20
@@ -182,6 +182,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
     texts = _text_column(docs, id_col, text_col)
     hot, size = hot_minimisers(texts, k, m)
     buckets = max(1, -(-size // BUCKET_BYTES))
+    tasks = min(buckets, 4 * partitions(docs.sparkSession))
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +245,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
             yield spans_of(_later_spans(blobs, k))
 
     dealt = texts.mapInArrow(deal, "bucket long, packed binary, spans binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, "doc_id long, start long, stop long")
+    return dealt.repartitionById(tasks, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(settle, "doc_id long, start long, stop long")
 
 
 def _later_spans(blobs: list[bytes], k: int) -> np.ndarray:
@@ -290,6 +291,23 @@ def _merged(docs: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     return np.stack([docs[begin], starts[begin], starts[last] + k], axis=1).astype(np.int64)
 
 
+def _squeezed(rows: DataFrame, text_col: str) -> DataFrame:
+    """rows with texts as zstd frames: half of what the shuffle's own compression leaves of them."""
+    from pyspark.sql import types as T
+
+    at = rows.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = pa.array([None if (t := x.as_py()) is None else squeeze(t.encode()) for x in batch.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, T.BinaryType()) if i == at else f for i, f in enumerate(rows.schema.fields)]))
+
+
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """docs with repeated windows removed: (id, n_words, n_removed, kept_sha256) with digest, else all columns of docs
     with text replaced (kept words joined by a space; texts of which nothing goes stay as they are) and n_removed added.
@@ -300,19 +318,25 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).select(F.col("doc_id").alias("__id"), F.transform("spans", lambda s: s.start).alias("__starts"), F.transform("spans", lambda s: s.stop).alias("__stops"))
     rows = docs.select(F.col(id_col), F.col(text_col)) if digest else docs
     rows = rows.withColumn(text_col, F.col(text_col).cast("string"))
-    joined = rows.join(spans, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    joined = _squeezed(rows, text_col).join(spans, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
     text_at, schema = rows.columns.index(text_col), rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             texts, starts, stops = batch.column(text_at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             n_words, removed, kept = [], [], []
             for t, a, b in zip(texts, starts, stops, strict=True):
                 t, a, b = t.as_py(), a.as_py(), b.as_py()
+                t = None if t is None else expand(t)
                 if t is None or (not a and not digest):
-                    n_words.append(0), removed.append(0), kept.append(hashlib.sha256(b"").hexdigest() if digest else t)
+                    n_words.append(0)
+                    removed.append(0)
+                    kept.append(hashlib.sha256(b"").hexdigest() if digest else t)
                     continue
-                words = t.encode().split()
+                words = t.split()
                 if a:
                     gone = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(gone, np.minimum(a, len(words)), 1)
@@ -324,11 +348,11 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
                 n_words.append(len(words))
                 removed.append(len(words) - len(rest))
                 joined_ = b" ".join(rest)
-                kept.append(hashlib.sha256(joined_).hexdigest() if digest else joined_.decode() if a else t)
+                kept.append(hashlib.sha256(joined_).hexdigest() if digest else joined_)
             if digest:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept_sha256"])
             else:
-                columns = [pa.array(kept, texts.type) if i == text_at else batch.column(i) for i in range(batch.num_columns - 2)]
+                columns = [pa.array(kept, pa.binary()).cast(pa.string()) if i == text_at else batch.column(i) for i in range(batch.num_columns - 2)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=[*batch.schema.names[:-2], "n_removed"])
 
     from pyspark.sql import types as T

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factorspark.llm.common import BYTE_VALUE, LOWER, hash_words, materialize, mix, powers, scan_words, slices, table, text_bytes
+from factorspark.llm.common import BYTE_VALUE, LOWER, hash_words, materialize, mix, partitions, powers, scan_words, slices, table, text_bytes
 
 END_ID = 1
 SHARD_TOKENS = 6_000_000
@@ -254,7 +254,8 @@ def pack(tokens: DataFrame, length: int = 2048, shares: dict[str, float] | None
     owed = supply.withColumn("share", share).withColumn("had", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sums, "shard")
     state = owed.select("shard", F.lit(0).alias("kind"), F.lit(None).cast(wide).alias("doc_id"), "source", F.lit(None).cast("binary").alias("ids"), "share", (F.col("share") * F.col("earlier") - F.col("had")).alias("owed"))
     rows = state.unionByName(dealt.select("shard", F.lit(1).alias("kind"), "doc_id", "source", "ids", F.lit(0.0).alias("share"), F.lit(0.0).alias("owed")))
-    rows = rows.repartition("shard").withColumn("deal", F.xxhash64("doc_id", F.lit(7))).sortWithinPartitions("shard", "kind", "deal", "doc_id")
+    tasks = min(shards, 4 * partitions(tokens.sparkSession))
+    rows = rows.repartitionById(tasks, F.col("shard").cast("int")).withColumn("deal", F.xxhash64("doc_id", F.lit(7))).sortWithinPartitions("shard", "kind", "deal", "doc_id")
     kinds = f"doc_id {wide}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

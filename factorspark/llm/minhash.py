@@ -205,9 +205,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("text")
-            raw = [s.astype("<u8").tobytes() for s in shingle_sets(*text_bytes(batch.column(k)), n)]
-            for i in range(0, batch.num_rows, 500):  # sets are larger than texts
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 500) for j, c in enumerate(batch.columns) if j != k), pa.array(raw[i : i + 500], pa.binary())], names=[*(x for x in batch.schema.names if x != "text"), "shingles"])
+            data, offsets = text_bytes(batch.column(k))
+            for i, j in slices(offsets, _CHUNK):  # sets may be larger than texts
+                raw = [s.astype("<u8").tobytes() for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for m, c in enumerate(batch.columns) if m != k), pa.array(raw, pa.binary())], names=[*(x for x in batch.schema.names if x != "text"), "shingles"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     placed = texts.join(placed, "doc_id").select("cluster", "block", "blocks", "least", "pivot0", "pivot1", "doc_id", "n", "bands", "text")

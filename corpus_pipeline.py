@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorspark.llm import minhash, packing, quality, substring, toxicity
-from factorspark.llm.common import materialize, table
+from factorspark.llm.common import WRITTEN, materialize, remove_written, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -53,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed pieces of all documents. Once a stage's rows are written, what led to them is removed."""
+    docs, before = table(spark, sf_dir, "documents"), len(WRITTEN)
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        remove_written(spark, before, keep=1)
     return docs

@@ -35,9 +35,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The tables that this process has written to the shared folder and not removed.
+WRITTEN: list[str] = []
+
+
+def remove_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Removes the tables written after the first ``since``, but for the last ``keep``: for when nothing is read from them any more."""
+    jvm = spark.sparkContext._jvm
+    for name in WRITTEN[since : len(WRITTEN) - keep]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del WRITTEN[since : len(WRITTEN) - keep]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

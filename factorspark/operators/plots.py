@@ -32,10 +32,16 @@ def equity_points(port: DataFrame) -> DataFrame:
     return equity_curve(long_, "ret", ("construction", "cost")).drop("peak")
 
 
-def draw_equity(port: DataFrame, path: str) -> str:
-    """Draws equity_points() into a PNG; raises ImportError without matplotlib."""
+def _plotting():
+    """matplotlib, or ImportError where it is not installed; the data functions above never need it."""
     import matplotlib.pyplot as plt
 
+    return plt
+
+
+def draw_equity(port: DataFrame, path: str) -> str:
+    """Growth of 1 over drawdown, as a PNG."""
+    plt = _plotting()
     points = equity_points(port).orderBy("date").toPandas()  # a row a rebalance date and curve
     figure, (top, bottom) = plt.subplots(2, 1, sharex=True)
     for (construction, cost), g in points.groupby(["construction", "cost"]):
@@ -45,3 +51,30 @@ def draw_equity(port: DataFrame, path: str) -> str:
     top.legend()
     figure.savefig(path)
     return path
+
+
+def draw_comparison(table: DataFrame, label: str, path: str) -> str:
+    """A dumbbell from gross to net for each row and metric, as a PNG."""
+    plt = _plotting()
+    points = comparison_points(table, label).toPandas()  # a row a model and metric
+    figure, axes = plt.subplots(1, points["metric"].nunique())
+    for axis, (metric, g) in zip(axes, points.groupby("metric"), strict=True):
+        names = [LABELS.get(x, x) for x in g[label]]
+        axis.hlines(names, g["gross"], g["net"].fillna(g["gross"]))
+        axis.plot(g["gross"], names, "o")
+        axis.plot(g["net"], names, "o")
+        axis.set_title(metric)
+    figure.savefig(path)
+    return path
+
+
+def draw_ic(ic: DataFrame, path: str, keys: tuple[str, ...] = ()) -> str:
+    """Rank correlations over time with their mean, as a PNG."""
+    plt = _plotting()
+    points = ic_series(ic, keys).orderBy("date").toPandas()  # a row a date
+    figure, axis = plt.subplots()
+    for name, g in points.groupby(list(keys)) if keys else [("", points)]:
+        axis.plot(g["date"], g["ic"], "o-", label=str(name))
+        axis.axhline(g["ic_mean"].iloc[0])
+    figure.savefig(path)
+    return path

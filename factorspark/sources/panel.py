@@ -74,6 +74,11 @@ def ingest_csv(spark: SparkSession, folder: str, out: str) -> dict[str, str]:
     return paths
 
 
+def read_results(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A result table that was written as CSV with a header, in its fixed schema."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
 # -- remote database (a contract: there is no network here) -----------------------------------------------------
 
 

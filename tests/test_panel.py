@@ -189,6 +189,42 @@ def test_future_data_does_not_reach_back(spark):
     assert a.exceptAll(b).count() == 0 and a.count() > 100
 
 
+def test_results_are_read_in_their_schema(spark, tmp_path):
+    from factorspark.plans.pipeline import write_csv
+    from factorspark.schemas import IC
+
+    write_csv(spark.createDataFrame([(DAY, 0.5), (dt.date(2020, 2, 29), None)], IC), f"{tmp_path}/ic")
+    got = src.read_results(spark, f"{tmp_path}/ic", IC)
+    assert got.schema == IC and sorted(got.collect(), key=lambda r: r.date) == [(DAY, 0.5), (dt.date(2020, 2, 29), None)]
+
+
+def test_months_of_a_stream_equal_the_batch(spark, tmp_path):
+    from factorspark.streaming.monthly import daily_stream, monthly_stream
+
+    daily = src.daily_panel(spark, "/root/testdata/sf0.001")
+    for i in range(2):
+        daily.where(F.col("permno") % 2 == i).write.mode("append").parquet(f"{tmp_path}/in")
+    q = monthly_stream(daily_stream(spark, f"{tmp_path}/in", daily.schema)).writeStream.outputMode("complete").format("memory").queryName("months").start()
+    q.processAllAvailable()
+    q.stop()
+    a = spark.table("months").select("permno", "date", "mkt_cap", F.round("avg_dollar_vol", 4), F.round("daily_ret_std", 8))
+    b = ft.resample_to_monthly(daily).select("permno", "date", "mkt_cap", F.round("avg_dollar_vol", 4), F.round("daily_ret_std", 8))
+    assert a.count() == b.count() > 100 and a.exceptAll(b).count() == 0
+
+
+def test_figures_need_only_their_data(spark):
+    from factorspark.operators import plots
+
+    port = catalogue.port(spark, "/root/testdata/sf0.001")
+    points = plots.equity_points(port).toPandas()
+    assert set(points.groupby(["construction", "cost"]).size()) == {port.count()}
+    try:
+        import matplotlib  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError):
+            plots.draw_equity(port, "x.png")
+
+
 def test_semi_join_and_pushdown_in_the_plan(spark):
     plan = catalogue.members(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "LeftSemi" in plan and "CartesianProduct" not in plan

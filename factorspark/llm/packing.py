@@ -2,7 +2,8 @@
 
 Every window of the sequence length is filled from the queues of all sources: with each window a source earns its
 share of the window as deficit and is served when it has earned a piece. What a source is owed is carried to the
-next window, from block to block within a shard, and (by prefix sums over the shards' totals) from shard to shard.
+next window, from block to block within a shard, and (by prefix sums over the shards' totals, at most a window's worth, as
+more would starve later windows) from shard to shard.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from factorspark.llm.common import BYTE_VALUE, LOWER, hash_words, materialize, m
 
 END_ID = 1
 SHARD_TOKENS = 6_000_000
-BLOCK_TOKENS = 3_000_000
+#: A shard waits in memory whole (two bytes a token) unless it is larger than this.
+BLOCK_TOKENS = 16_000_000
 LEAST_PIECE = 96
 _MEMO = 2_000_000
 _TOGETHER = 200
@@ -191,8 +193,14 @@ class Mixer:
         self.waiting = 0
         self.sequence = 0
 
+    def balance(self) -> None:
+        """What all sources are owed together is nobody's: it is taken off by their shares."""
+        total, parts = sum(self.deficit.values()), sum(self.share.values())
+        for s, part in self.share.items():
+            self.deficit[s] -= total * part / parts if parts else 0.0
+
     def add(self, doc_id, source: str, ids: bytes) -> None:
-        self.queues.setdefault(source, deque()).append([doc_id, np.frombuffer(ids, "<u2").astype("<u4"), 0])
+        self.queues.setdefault(source, deque()).append([doc_id, np.frombuffer(ids, "<u2"), 0])
         self.waiting += len(ids) // 2
 
     def _take(self, source: str, most: int, offset: int) -> int:
@@ -200,6 +208,8 @@ class Mixer:
         queue, got = self.queues[source], 0
         while got < most and queue:
             doc = queue[0]
+            if not doc[2]:
+                doc[1] = doc[1].astype("<u4")
             n = min(most - got, len(doc[1]) - doc[2])
             self.emit(doc[0], doc[2], n, doc[1], self.sequence, offset + got)
             doc[2] += n
@@ -213,17 +223,21 @@ class Mixer:
         return got
 
     def windows(self, last: bool = False) -> None:
-        """Fills windows while a whole one waits; at the shard's end also the rest, cut at powers of two: no padding."""
+        """Fills windows until half a block waits, so that no queue runs dry before its shard ends; at the end also the
+        rest, cut at powers of two: no padding."""
         size = self.length
-        while self.waiting >= size or (last and self.waiting):
+        while self.waiting >= max(size, BLOCK_TOKENS // 2) or (last and self.waiting):
             if self.waiting < size:
                 size = 1 << (self.waiting.bit_length() - 1)
             for s in self.queues:
                 self.deficit[s] = self.deficit.get(s, 0.0) + size * self.share.get(s, 0.0)
             room = size
             for s in sorted(self.queues, key=lambda s: (-self.deficit[s], s)):
-                if room and self.deficit[s] >= min(LEAST_PIECE, room):
-                    room -= self._take(s, min(room, int(self.deficit[s])), size - room)
+                # A large debt is paid over several windows: at once it would leave others a debt, and so on back and forth.
+                usual = max(size * self.share.get(s, 0.0), 2 * LEAST_PIECE)
+                due = int(min(self.deficit[s], usual + max(0.0, self.deficit[s] - usual) / 4))
+                if room and due >= min(LEAST_PIECE, room):
+                    room -= self._take(s, min(room, due), size - room)
             while room:  # what no source has earned yet goes to those that are owed most
                 s = max(self.queues, key=lambda s: (self.deficit[s], s))
                 room -= self._take(s, min(room, max(LEAST_PIECE, int(self.deficit[s]))), size - room)
@@ -245,14 +259,15 @@ def pack(tokens: DataFrame, length: int = 2048, shares: dict[str, float] | None
     shards = max(1, -(-total // shard_tokens))
     dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
     supply = dealt.groupBy("shard", "source").agg(F.sum("n").alias("n"))
-    if shares is None:
-        share = (F.sum("n").over(Window.partitionBy("source")) / F.lit(max(total, 1))).cast("double")
-    else:
-        share = F.coalesce(F.element_at(F.from_json(F.lit(_json(shares)), "map<string,double>"), F.col("source")), F.lit(0.0))
+    corpus = (F.sum("n").over(Window.partitionBy("source")) / F.lit(max(total, 1))).cast("double")
+    given = F.coalesce(F.element_at(F.from_json(F.lit(_json(shares or {})), "map<string,double>"), F.col("source")), F.lit(0.0))
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sums = supply.groupBy("shard").agg(F.sum("n").alias("all")).withColumn("earlier", F.coalesce(F.sum("all").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    owed = supply.withColumn("share", share).withColumn("had", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sums, "shard")
-    state = owed.select("shard", F.lit(0).alias("kind"), F.lit(None).cast(wide).alias("doc_id"), "source", F.lit(None).cast("binary").alias("ids"), "share", (F.col("share") * F.col("earlier") - F.col("had")).alias("owed"))
+    wanted = supply.withColumn("wanted", corpus if shares is None else given).withColumn("had", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sums, "shard")
+    # All of a shard is packed in it, so by default its own shares, which a deal by hash keeps near the corpus's, let every queue last.
+    share = F.col("n") / F.col("all") if shares is None else F.col("wanted")
+    owed = F.greatest(F.least(F.col("wanted") * F.col("earlier") - F.col("had"), F.lit(float(length))), F.lit(-float(length)))
+    state = wanted.select("shard", F.lit(0).alias("kind"), F.lit(None).cast(wide).alias("doc_id"), "source", F.lit(None).cast("binary").alias("ids"), share.alias("share"), owed.alias("owed"))
     rows = state.unionByName(dealt.select("shard", F.lit(1).alias("kind"), "doc_id", "source", "ids", F.lit(0.0).alias("share"), F.lit(0.0).alias("owed")))
     tasks = min(shards, 4 * partitions(tokens.sparkSession))
     rows = rows.repartitionById(tasks, F.col("shard").cast("int")).withColumn("deal", F.xxhash64("doc_id", F.lit(7))).sortWithinPartitions("shard", "kind", "deal", "doc_id")
@@ -260,7 +275,7 @@ def pack(tokens: DataFrame, length: int = 2048, shares: dict[str, float] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        now, mixer = None, None
+        now, mixer, begun = None, None, False
 
         def emit(doc_id, start, n, ids, sequence, offset):
             raw = memoryview(ids).cast("B")[4 * start : 4 * (start + n)]
@@ -281,10 +296,13 @@ def pack(tokens: DataFrame, length: int = 2048, shares: dict[str, float] | None
                     if mixer:
                         mixer.windows(last=True)
                         yield from flushed()
-                    now, mixer = shard, Mixer(length, emit, {}, {})
+                    now, mixer, begun = shard, Mixer(length, emit, {}, {}), False
                 if kind == 0:
                     mixer.share[source], mixer.deficit[source] = share_, owed_
                     continue
+                if not begun:
+                    mixer.balance()
+                    begun = True
                 mixer.add(doc_id, source, ids)
                 if mixer.waiting >= BLOCK_TOKENS:
                     mixer.windows()

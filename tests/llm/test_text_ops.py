@@ -102,6 +102,24 @@ def test_packing_holds_the_mixture(spark):
     assert len(by) > 100 and sum(abs((r.b or 0) / 1024 - 0.25) < 0.13 for r in by) > 0.85 * len(by)
 
 
+def test_a_debt_does_not_swing_back_and_forth():
+    rng, got = random.Random(1), []
+    sources = ["hot", *(f"s{i}" for i in range(20))]
+    docs = [(i, rng.choices(sources, [0.4] + [0.03] * 20)[0], rng.randrange(10, 1500)) for i in range(3000)]
+    total = sum(n for *_, n in docs)
+    share = {s: sum(n for _, t, n in docs if t == s) / total for s in sources}
+    mixer = packing.Mixer(2048, lambda d, a, n, ids, seq, off: got.append((seq, docs[d][1], n)), share, {s: 2048.0 if s == "hot" else -300.0 for s in sources})
+    mixer.balance()
+    for i, s, n in docs:
+        mixer.add(i, s, struct.pack(f"<{n}H", *[7] * n))
+    mixer.windows(last=True)
+    hot = defaultdict(int)
+    for seq, s, n in got:
+        hot[seq] += n * (s == "hot")
+    parts = sorted(hot[q] / 2048 for q in range(max(hot)))
+    assert abs(parts[len(parts) // 10] - share["hot"]) < 0.06 and abs(parts[9 * len(parts) // 10] - share["hot"]) < 0.06
+
+
 def test_arc_versions_convert_and_read_back(spark, tmp_path):
     html = ["x" * 99, "y" * 100, "y" * 100, None, "", "Ünï" * 50, "Ünï" * 50, "y" * 100, "x" * 99]
     pages = spark.createDataFrame([(i + 10, f"http://h/{i} {i}" if i else None, h, "z") for i, h in enumerate(html)], "page_id long, url string, html string, payload string")

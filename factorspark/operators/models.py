@@ -95,22 +95,27 @@ def run_walk_forward(panel: DataFrame, train_months: int = 60, test_months: int
         lists = train.groupby("date", sort=True).size().to_numpy()
         x, y = train[list(MODEL_INPUTS)].to_numpy(np.float64), train["label"].to_numpy(np.float64)
         params = configs[pdf["config"].iloc[0]]
-        model = _ranker(engine, params, x, y, lists)
+        fitted, predict = _ranker(engine, params, x, y, lists)
+        test = (pdf["role"] != "train").to_numpy()
         out = pdf[["fold", "role", "date", "permno", "fwd_ret"]].copy()
         out.insert(0, "label", pdf["config"].iloc[0])
-        out["pred"] = np.round(model(pdf[list(MODEL_INPUTS)].to_numpy(np.float64)), 10)
+        pred = np.empty(len(pdf))
+        pred[~test], pred[test] = fitted, predict(pdf.loc[test, list(MODEL_INPUTS)].to_numpy(np.float64))
+        out["pred"] = np.round(pred, 10)
         return out
 
     return rows.groupBy("config", "fold").applyInPandas(fit_predict, "label string, fold int, role string, date date, permno int, fwd_ret double, pred double")
 
 
 def _ranker(engine: str, params: dict, x: np.ndarray, y: np.ndarray, lists: np.ndarray):
+    """What the model gives on its training rows, and a function for others."""
     if engine == "xgboost":
         from xgboost import XGBRanker
 
         model = XGBRanker(objective="rank:ndcg", **params).fit(x, y, group=lists)
-        return model.predict
-    return Ranker(**params).fit(x, y, np.concatenate([[0], np.cumsum(lists)])).predict
+        return model.predict(x), model.predict
+    model = Ranker(**params).fit(x, y, np.concatenate([[0], np.cumsum(lists)]))
+    return model.fitted, model.predict
 
 
 def predictions(scored: DataFrame) -> DataFrame:

@@ -157,6 +157,7 @@ def test_ranker_learns_an_order():
     starts = np.arange(0, 601, 60)
     model = Ranker(min_child_weight=0.5, learning_rate=0.1, n_estimators=60).fit(x[:540], label[:540], starts[:10])
     assert pd.Series(model.predict(x[540:])).corr(pd.Series(y[540:]), method="pearson") > 0.6
+    assert np.allclose(model.fitted, model.predict(x[:540]))
     assert len(Ranker(n_estimators=3).fit(x, label, starts).trees) == 3
 
 

@@ -104,7 +104,10 @@ def run_walk_forward(panel: DataFrame, train_months: int = 60, test_months: int
         out["pred"] = np.round(pred, 10)
         return out
 
-    return rows.groupBy("config", "fold").applyInPandas(fit_predict, "label string, fold int, role string, date date, permno int, fwd_ret double, pred double")
+    # A group is much work for few bytes: without a number of partitions adaptive execution would merge many into one task.
+    session = panel.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "config", "fold").groupBy("config", "fold").applyInPandas(fit_predict, "label string, fold int, role string, date date, permno int, fwd_ret double, pred double")
 
 
 def _ranker(engine: str, params: dict, x: np.ndarray, y: np.ndarray, lists: np.ndarray):

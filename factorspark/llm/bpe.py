@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factorspark.llm.common import table
+from factorspark.llm.common import map_batches, table
 
 #: Texts over this many characters are split at safe places before the library's own splitting.
 LONG = 200_000
@@ -74,8 +74,8 @@ def encode(text: str, enc) -> np.ndarray:
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """(id, n_tokens, ids) or, with digest, (id, n_tokens, ids_sha256, decoded_sha256) for every row of docs.
 
-    Ids are little-endian unsigned 32-bit integers in one binary. Null texts count as empty; other columns are
-    not looked at. A scan and one Arrow pass: no shuffle, so neither hot sources nor copies matter.
+    Ids are little-endian unsigned 32-bit integers in one binary. Null texts count as empty, repeated rows
+    get a row each, no rows give none; other columns are not looked at. A scan and one Arrow pass: no shuffle, so neither hot sources nor copies matter.
     """
     wide = dict(docs.dtypes)[id_col]
 
@@ -97,7 +97,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids"]
     kinds = ["long", "string", "string"] if digest else ["long", "binary"]
-    out = docs.select(id_col, text_col).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(["i", "n", "a", "b"], [wide, *kinds], strict=False)))
+    out = map_batches(docs.select(id_col, text_col), run, ", ".join(f"{n} {k}" for n, k in zip(["i", "n", "a", "b"], [wide, *kinds], strict=False)))
     return out.toDF(id_col, *names)
 
 
@@ -115,10 +115,11 @@ def decode_documents(encoded: DataFrame, rank_file: str, pattern: str, id_col: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(x.as_py() or b"", enc) for x in batch.column(1)], pa.binary())], names=["i", "bytes"])
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"i {wide}, bytes binary").toDF(id_col, "bytes")
+    return map_batches(encoded.select(id_col, "ids"), run, f"i {wide}, bytes binary").toDF(id_col, "bytes")
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents and of what they decode to; odd rows as encode_documents says."""
     import public_tokenizers as tokenizers
 
     return encode_documents(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN, digest=True)

@@ -84,6 +84,8 @@ PROBE = "\\### Assistant: </turn> ok"
 
 
 def op2_chat_format(spark, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of the probe, read back from their formatted text. Null texts and roles are empty, a null
+    conv_id is a conversation; repeated rows are turns of their own; no rows leave the probe alone."""
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     events = rows.select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("msg"), F.lit("message").alias("kind"), "role", "text")

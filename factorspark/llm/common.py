@@ -2,14 +2,16 @@
 
 Intermediate results that are read more than once are written as Parquet into the folder that the
 session names in ``spark.checkpoint.dir`` (:func:`materialize`), so that a lost executor costs a
-re-read of a file and not a recomputation of the whole lineage.
+re-read of a file and not a recomputation of the whole lineage. What a query wrote on its way goes
+once its result is written (:func:`settled`).
 """
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share. Where the session names none, one beside the warehouse's tables; only
+    with all executors in this process may it be a temporary folder of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='factorspark-')}"
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        named = f"file://{tempfile.mkdtemp(prefix='factorspark-')}" if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/factorspark-work"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -52,6 +56,54 @@ def remove_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     del WRITTEN[since : len(WRITTEN) - keep]
 
 
+def settled(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose result is written once; all that it wrote on its way is then removed."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = len(WRITTEN)
+        out = materialize(query(spark, sf_dir), query.__name__)
+        remove_written(spark, before, keep=1)
+        return out
+
+    return run
+
+
+#: Bytes of texts that are worked on at once: temporary arrays are some forty times as large.
+CHUNK = 1 << 20
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow, in one place for all operators."""
+    return df.mapInArrow(run, schema)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns_of(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with these columns only, whatever characters their names hold."""
+    return df.select(*[F.col("`" + n.replace("`", "``") + "`") for n in names])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, mark: str, rows: int) -> DataFrame:
+    """(doc_id, mark, text): the labelled documents with the smallest id hashes, rows at most, crc32(id) mod 5 not 0.
+
+    Of several texts with one id the smallest counts, of several marks the largest, so that the same tables give the same
+    sample. Null ids and marks take no part.
+    """
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    marks = labels.where(F.col(mark).isNotNull() & F.col("doc_id").isNotNull() & ~held).groupBy("doc_id").agg(F.max(mark).cast("int").alias("mark"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    first = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return texts.join(F.broadcast(first), "doc_id").groupBy("doc_id", "mark").agg(F.min("text").alias("text"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -65,22 +117,11 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_rng = np.random.default_rng(20240229)
-#: A random odd 64-bit value for each byte; white space counts as nothing.
-BYTE_VALUE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE_VALUE[SPACE] = 0
-_BASE = int(_rng.integers(0, 2**63)) * 2 + 1
-_SLAB = 1 << 20
-_powers = np.ones(1, dtype=np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        full = np.full(max(n, 4096), _BASE % 2**64, dtype=np.uint64)
-        full[0] = 1
-        _powers = np.multiply.accumulate(full)
-    return _powers
+#: A random 64-bit value for each byte at each of the first places of a word; white space counts as nothing.
+PLACES = 64
+BYTE_VALUE = np.random.default_rng(20240229).integers(0, 2**64, (PLACES, 256), dtype=np.uint64)
+BYTE_VALUE[:, SPACE] = 0
+_SLAB = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -133,10 +174,21 @@ def scan_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def byte_values(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """What bytes at these places of a word add to its hash: table values, mixed with the round beyond the table's places."""
+    out = BYTE_VALUE.ravel()[((places & (PLACES - 1)) << 8) | data]
+    far = np.flatnonzero(places >= PLACES)
+    if len(far):
+        rounds = (places[far] // PLACES).astype(np.uint64)
+        out[far] = np.where(out[far] == 0, np.uint64(0), mix(out[far] + rounds * np.uint64(0x9E3779B97F4A7C15)))
+    return out
+
+
 def hash_words(data: np.ndarray, starts: np.ndarray, mixed: bool = True) -> np.ndarray:
     """A 64-bit value for each word, equal for equal words; white space after a word doesn't count.
 
-    Not mixed, it is the sum of BYTE_VALUE[byte] * powers[place in the word].
+    Not mixed, it is the sum of byte_values. Different words can share a value: where equality must be
+    certain, :func:`exact_ids` compares the words themselves.
     """
     out = np.empty(len(starts), dtype=np.uint64)
     i, n = 0, len(starts)
@@ -145,12 +197,36 @@ def hash_words(data: np.ndarray, starts: np.ndarray, mixed: bool = True) -> np.n
         a, b = int(starts[i]), int(starts[j]) if j < n else len(data)
         own = (starts[i:j] - a).astype(np.int64)
         within = np.arange(b - a) - np.repeat(own, np.diff(np.append(own, b - a)))
-        values = BYTE_VALUE[data[a:b]] * powers(int(within.max()) + 1)[within]
-        out[i:j] = np.add.reduceat(values, own)
+        out[i:j] = np.add.reduceat(byte_values(data[a:b], within), own)
         i = j
     return mix(out) if mixed else out
 
 
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each pair of words of one length, none empty, whether their bytes are equal."""
+    out = np.ones(len(lengths), dtype=bool)
+    for i in range(0, len(lengths), 1 << 15):
+        own = lengths[i : i + (1 << 15)]
+        first = np.cumsum(own) - own
+        within = np.arange(int(own.sum())) - np.repeat(first, own)
+        differ = a[np.repeat(a_starts[i : i + (1 << 15)], own) + within] != b[np.repeat(b_starts[i : i + (1 << 15)], own) + within]
+        out[i : i + (1 << 15)] = ~np.logical_or.reduceat(differ, first)
+    return out
+
+
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each word, equal exactly for equal words: hashes, proven by comparing each word with its hash's first.
+
+    Should two words share a hash, all are numbered by their bytes instead.
+    """
+    _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    lengths, model = ends - starts, at[inverse]
+    if (lengths == lengths[model]).all() and same_bytes(data, starts, data, starts[model], lengths).all():
+        return inverse.astype(np.int64)
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(starts, ends, strict=True)], dtype=np.int64)
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """64-bit values of all runs of n consecutive words (positions where a text ends inside are for the caller to drop)."""
     if len(words) < n:
@@ -179,8 +255,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-#: Up to this many edges (32 MB) a single executor task finds the components; beyond it, rounds of star steps do.
-TASK_EDGES = 2_000_000
+#: Up to this many edges (16 MB) a single executor task finds the components; beyond it, rounds of star steps do.
+TASK_EDGES = 1_000_000
 
 
 def _components_in_task(edges: DataFrame) -> DataFrame:
@@ -208,7 +284,7 @@ def _components_in_task(edges: DataFrame) -> DataFrame:
         for i in range(0, len(ids), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000], type_), pa.array(ids[label[i : i + 100_000]], type_)], names=["id", "component"])
 
-    return edges.select("u", "v").coalesce(1).mapInArrow(run, f"id {kind}, component {kind}")
+    return map_batches(edges.select("u", "v").coalesce(1), run, f"id {kind}, component {kind}")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

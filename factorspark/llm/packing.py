@@ -2,8 +2,8 @@
 
 Every window of the sequence length is filled from the queues of all sources: with each window a source earns its
 share of the window as deficit and is served when it has earned a piece. What a source is owed is carried to the
-next window, from block to block within a shard, and (by prefix sums over the shards' totals, at most a window's worth, as
-more would starve later windows) from shard to shard.
+next window, from block to block within a shard, and whole from shard to shard (by prefix sums over the shards' totals).
+Such a carried debt is paid, or a surplus worked off, by a part of each window, as paying it at once would starve others.
 """
 
 from __future__ import annotations
@@ -21,16 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factorspark.llm.common import BYTE_VALUE, LOWER, hash_words, materialize, mix, partitions, powers, scan_words, slices, table, text_bytes
+from factorspark.llm.common import CHUNK, LOWER, byte_values, exact_ids, hash_words, map_batches, materialize, mix, partitions, same_bytes, scan_words, slices, table, text_bytes
 
 END_ID = 1
 SHARD_TOKENS = 6_000_000
 #: A shard waits in memory whole (two bytes a token) unless it is larger than this.
 BLOCK_TOKENS = 16_000_000
 LEAST_PIECE = 96
-_MEMO = 2_000_000
+#: The part of its share by which a source's part of a window may differ for a carried debt.
+INSTALMENT = 0.25
+_MEMO = 500_000
 _TOGETHER = 200
-_GROUP = 3 << 20
 
 
 @lru_cache(maxsize=2)
@@ -51,8 +52,9 @@ class WordMemo:
     and is put aside. Words of lower-case letters alone are one match each, which ends in the only id that closes a
     word, so many of them are encoded in one call and their ids cut there.
 
-    The memo holds sorted runs of word keys (a 64-bit hash, checked against the first eight bytes and the length)
-    and one pool of ids, some 30 bytes a word. It lives as long as the Python worker and is emptied when it is full.
+    The memo holds sorted runs of word keys (64-bit hashes), a pool of the words themselves and one of ids, some 50
+    bytes a word. A word is taken for one of the memo only if their bytes are equal; words that share a hash with another
+    of the memo are encoded anew each time. It lives as long as the Python worker and is emptied when it is full.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,8 +68,9 @@ class WordMemo:
         self._clear()
 
     def _clear(self) -> None:
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []  # sorted keys; their check, place in the pool and number of ids
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []  # sorted keys; their length, place of their bytes, place in the pool and number of ids
         self.pool, self.used, self.words = np.empty(1 << 20, dtype="<u2"), 0, 0
+        self.text, self.held = np.empty(1 << 20, dtype=np.uint8), 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -105,8 +108,16 @@ class WordMemo:
         self.used = total
         return at, number
 
-    def _add(self, keys: np.ndarray, facts: np.ndarray) -> None:
-        self.runs.append((keys, facts))
+    def _add(self, keys: np.ndarray, words: list[bytes], place: np.ndarray, number: np.ndarray) -> None:
+        length = np.array([len(w) for w in words])
+        stop = self.held + int(length.sum())
+        if stop > len(self.text):
+            self.text = np.concatenate([self.text[: self.held], np.empty(max(stop - self.held, len(self.text)), np.uint8)])
+        self.text[self.held : stop] = np.frombuffer(b"".join(words), np.uint8)
+        at = self.held + np.cumsum(length) - length
+        self.held = stop
+        order = np.argsort(keys, kind="stable")
+        self.runs.append((keys[order], np.stack([length, at, place, number])[:, order]))
         self.words += len(keys)
         while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
             (a, x), (b, y) = self.runs[-2:]
@@ -116,7 +127,7 @@ class WordMemo:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive texts, each with the end id after it, and their n + 1 offsets."""
-        if self.words > _MEMO or self.used > 8 * _MEMO:
+        if self.words > _MEMO or self.used > 8 * _MEMO or self.held > 16 * _MEMO:
             self._clear()
         low = LOWER[data]
         starts, ends, bounds = scan_words(low, offsets)
@@ -129,26 +140,27 @@ class WordMemo:
         tail = low[ends - 1]
         marked = (length > 1) & (letters == length - 1) & ((tail == 46) | (tail == 44))
         h = hash_words(low, starts, mixed=False)
-        h[marked] -= BYTE_VALUE[tail[marked]] * powers(int(length.max()))[length[marked] - 1]
+        h[marked] -= byte_values(tail[marked], length[marked] - 1)
         core = length - marked
-        _, at, inverse = np.unique(mix(h), return_index=True, return_inverse=True)
-        keys, first, core_ = mix(h[at]), starts[at], core[at]
-        check = core_.astype(np.uint64)
-        for j in range(8):
-            check = (check << np.uint64(8)) ^ (check >> np.uint64(56)) ^ np.where(j < core_, low[np.minimum(first + j, len(low) - 1)], 0).astype(np.uint64)
-        check = check.astype(np.int64)
+        h = mix(h)
+        inverse = exact_ids(low, starts, starts + core, h)
+        at = np.empty(int(inverse.max()) + 1, np.int64)
+        at[inverse[::-1]] = np.arange(len(inverse))[::-1]  # the first of each word
+        keys, first, core_ = h[at], starts[at], core[at]
         place, number = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        for run, facts in self.runs:
+        for run, (length_, text_at, pool_at, ids_) in self.runs:
             left = np.flatnonzero(place < 0)
             i = np.minimum(np.searchsorted(run, keys[left]), len(run) - 1)
-            hit = (run[i] == keys[left]) & (facts[0][i] == check[left])
-            place[left[hit]], number[left[hit]] = facts[1][i[hit]], facts[2][i[hit]]
+            maybe = (run[i] == keys[left]) & (length_[i] == core_[left])
+            left, i = left[maybe], i[maybe]
+            hit = same_bytes(low, first[left], self.text, text_at[i], core_[left])
+            place[left[hit]], number[left[hit]] = pool_at[i[hit]], ids_[i[hit]]
         new = np.flatnonzero(place < 0)
         if len(new):
             raw = low.tobytes()
             words = [raw[a:b] for a, b in zip(first[new].tolist(), (first + core_)[new].tolist(), strict=True)]
             place[new], number[new] = self._learn(words, letters[at[new]] == core_[new])
-            self._add(keys[new], np.stack([check[new], place[new], number[new]]))
+            self._add(keys[new], words, place[new], number[new])
         each = number[inverse]
         count = each + marked
         begin = np.concatenate([[0], np.cumsum(count)])
@@ -169,35 +181,48 @@ def word_memo(path: str) -> WordMemo:
 
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, source, n, ids): whole texts' ids and the end id. Null texts are empty, null sources are the source ''."""
+    """(doc_id, source, n, ids): whole texts' ids and the end id, a row for each row of docs, null and repeated ids included.
+
+    Null and empty texts have the end id alone, null sources are the source ''. No rows give no rows; other columns
+    are not looked at.
+    """
     wide = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo(path)
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
-            for i, j in slices(offsets, _GROUP):
+            for i, j in slices(offsets, CHUNK):
                 ids, at = memo.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], END_ID)
                 binary = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(2 * at), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(at)), binary], names=["doc_id", "source", "n", "ids"])
 
-    return docs.select(id_col, F.coalesce(F.col(source_col).cast("string"), F.lit("")), text_col).mapInArrow(run, f"doc_id {wide}, source string, n long, ids binary")
+    return map_batches(docs.select(id_col, F.coalesce(F.col(source_col).cast("string"), F.lit("")), text_col), run, f"doc_id {wide}, source string, n long, ids binary")
 
 
 class Mixer:
-    """Deficit round-robin for one shard. Documents are given with add(), pieces come out of windows()."""
+    """Deficit round-robin for one shard. Documents are given with add(), pieces come out of windows().
+
+    owed: what earlier shards left owing to each source (or, negative, gave it too much); it is paid in instalments.
+    """
 
     def __init__(self, length: int, emit: Callable, share: dict[str, float], owed: dict[str, float]) -> None:
-        self.length, self.emit, self.share, self.deficit = length, emit, share, owed
+        self.length, self.emit, self.share, self.owed = length, emit, share, owed
+        self.deficit: dict[str, float] = {}
         self.queues: dict[str, deque] = {}
         self.waiting = 0
         self.sequence = 0
 
-    def balance(self) -> None:
-        """What all sources are owed together is nobody's: it is taken off by their shares."""
-        total, parts = sum(self.deficit.values()), sum(self.share.values())
-        for s, part in self.share.items():
-            self.deficit[s] -= total * part / parts if parts else 0.0
+    def instalments(self, size: int) -> dict[str, float]:
+        """What sources get beyond their shares of a window of that size, or less: as much is paid as is worked off."""
+        most = {s: INSTALMENT * size * self.share.get(s, 0.0) for s in self.queues}
+        pay = {s: min(max(self.owed.get(s, 0.0), -m), m) for s, m in most.items()}
+        up, down = sum(x for x in pay.values() if x > 0), -sum(x for x in pay.values() if x < 0)
+        both = min(up, down)
+        pay = {s: x * both / (up if x > 0 else down) for s, x in pay.items() if both and x}
+        for s, x in pay.items():
+            self.owed[s] -= x
+        return pay
 
     def add(self, doc_id, source: str, ids: bytes) -> None:
         self.queues.setdefault(source, deque()).append([doc_id, np.frombuffer(ids, "<u2"), 0])
@@ -229,13 +254,12 @@ class Mixer:
         while self.waiting >= max(size, BLOCK_TOKENS // 2) or (last and self.waiting):
             if self.waiting < size:
                 size = 1 << (self.waiting.bit_length() - 1)
+            pay = self.instalments(size)
             for s in self.queues:
-                self.deficit[s] = self.deficit.get(s, 0.0) + size * self.share.get(s, 0.0)
+                self.deficit[s] = self.deficit.get(s, 0.0) + size * self.share.get(s, 0.0) + pay.get(s, 0.0)
             room = size
             for s in sorted(self.queues, key=lambda s: (-self.deficit[s], s)):
-                # A large debt is paid over several windows: at once it would leave others a debt, and so on back and forth.
-                usual = max(size * self.share.get(s, 0.0), 2 * LEAST_PIECE)
-                due = int(min(self.deficit[s], usual + max(0.0, self.deficit[s] - usual) / 4))
+                due = int(self.deficit[s])
                 if room and due >= min(LEAST_PIECE, room):
                     room -= self._take(s, min(room, due), size - room)
             while room:  # what no source has earned yet goes to those that are owed most
@@ -248,34 +272,33 @@ def pack(tokens: DataFrame, length: int = 2048, shares: dict[str, float] | None
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]): pieces of sequences of exactly
     ``length`` tokens or, at a shard's end, of a smaller power of two.
 
-    shares: wanted token proportion of each source; by default that of the whole corpus, in which every queue
-    lasts to the end. Sources without a share are served as they are owed least. All tokens are packed whatever
-    the shares. Documents are dealt to shards by a hash of their id, so a hot source spreads evenly; a shard is
-    streamed in blocks of bounded size. Repeated rows are documents of their own; no rows give no pieces.
+    shares: wanted token proportion of each source; by default that of the whole corpus, in which all queues
+    last to the end. Sources without a share are served as they are owed least. All tokens are packed whatever
+    the shares. Documents are dealt to shards by a hash of id and place, so a hot source or id (null among them) spreads
+    evenly; a shard is streamed in blocks of bounded size. Repeated rows are documents of their own; no rows give no pieces.
     """
     wide = dict(tokens.dtypes)["doc_id"]
-    tokens = materialize(tokens, "pack-tokens")
+    # The place is written once with the row, so that all readers see the same.
+    tokens = materialize(tokens.select("doc_id", "source", "n", "ids", F.monotonically_increasing_id().alias("place")), "pack-tokens")
     total = tokens.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "place"), F.lit(shards)))
     supply = dealt.groupBy("shard", "source").agg(F.sum("n").alias("n"))
     corpus = (F.sum("n").over(Window.partitionBy("source")) / F.lit(max(total, 1))).cast("double")
     given = F.coalesce(F.element_at(F.from_json(F.lit(_json(shares or {})), "map<string,double>"), F.col("source")), F.lit(0.0))
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sums = supply.groupBy("shard").agg(F.sum("n").alias("all")).withColumn("earlier", F.coalesce(F.sum("all").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     wanted = supply.withColumn("wanted", corpus if shares is None else given).withColumn("had", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sums, "shard")
-    # All of a shard is packed in it, so by default its own shares, which a deal by hash keeps near the corpus's, let every queue last.
-    share = F.col("n") / F.col("all") if shares is None else F.col("wanted")
-    owed = F.greatest(F.least(F.col("wanted") * F.col("earlier") - F.col("had"), F.lit(float(length))), F.lit(-float(length)))
-    state = wanted.select("shard", F.lit(0).alias("kind"), F.lit(None).cast(wide).alias("doc_id"), "source", F.lit(None).cast("binary").alias("ids"), share.alias("share"), owed.alias("owed"))
-    rows = state.unionByName(dealt.select("shard", F.lit(1).alias("kind"), "doc_id", "source", "ids", F.lit(0.0).alias("share"), F.lit(0.0).alias("owed")))
+    owed = F.col("wanted") * F.col("earlier") - F.col("had")
+    state = wanted.select("shard", F.lit(0).alias("kind"), F.lit(None).cast(wide).alias("doc_id"), F.lit(-1).cast("long").alias("place"), "source", F.lit(None).cast("binary").alias("ids"), F.col("wanted").alias("share"), owed.alias("owed"))
+    rows = state.unionByName(dealt.select("shard", F.lit(1).alias("kind"), "doc_id", "place", "source", "ids", F.lit(0.0).alias("share"), F.lit(0.0).alias("owed")))
     tasks = min(shards, 4 * partitions(tokens.sparkSession))
-    rows = rows.repartitionById(tasks, F.col("shard").cast("int")).withColumn("deal", F.xxhash64("doc_id", F.lit(7))).sortWithinPartitions("shard", "kind", "deal", "doc_id")
+    rows = rows.repartitionById(tasks, F.col("shard").cast("int")).withColumn("deal", F.xxhash64("doc_id", "place", F.lit(7))).sortWithinPartitions("shard", "kind", "deal", "place")
     kinds = f"doc_id {wide}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        now, mixer, begun = None, None, False
+        now, mixer = None, None
 
         def emit(doc_id, start, n, ids, sequence, offset):
             raw = memoryview(ids).cast("B")[4 * start : 4 * (start + n)]
@@ -296,13 +319,10 @@ def pack(tokens: DataFrame, length: int = 2048, shares: dict[str, float] | None
                     if mixer:
                         mixer.windows(last=True)
                         yield from flushed()
-                    now, mixer, begun = shard, Mixer(length, emit, {}, {}), False
+                    now, mixer = shard, Mixer(length, emit, {}, {})
                 if kind == 0:
-                    mixer.share[source], mixer.deficit[source] = share_, owed_
+                    mixer.share[source], mixer.owed[source] = share_, owed_
                     continue
-                if not begun:
-                    mixer.balance()
-                    begun = True
                 mixer.add(doc_id, source, ids)
                 if mixer.waiting >= BLOCK_TOKENS:
                     mixer.windows()
@@ -311,7 +331,7 @@ def pack(tokens: DataFrame, length: int = 2048, shares: dict[str, float] | None
             mixer.windows(last=True)
             yield from flushed(True)
 
-    return rows.select("shard", "kind", "doc_id", "source", "ids", "share", "owed").mapInArrow(run, kinds)
+    return map_batches(rows.select("shard", "kind", "doc_id", "source", "ids", "share", "owed"), run, kinds)
 
 
 def _json(shares: dict[str, float]) -> str:
@@ -321,6 +341,7 @@ def _json(shares: dict[str, float]) -> str:
 
 
 def op6_pack(spark, sf_dir: str) -> DataFrame:
+    """The pieces of all documents by the corpus's own shares, without their ids; odd rows as tokenize and pack say."""
     import public_tokenizers as tokenizers
 
     return pack(tokenize(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json")))

@@ -12,16 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import gram_hashes, hash_words, materialize, partitions, scan_words, slices, table, text_bytes
+from factorspark.llm.common import exact_ids, free_name, gram_hashes, hash_words, map_batches, materialize, mix, partitions, scan_words, slices, table, text_bytes
 
 K, M = 20, 3
-_CHUNK = 8 << 20
+_CHUNK = 4 << 20
 BUCKET_BYTES = 8 << 20
 #: A minimiser of at least this many super-k-mers, or of one in this many of all, is hot: at most HOT_KEYS can be.
 HOT_COUNT, HOT_KEYS = 2000, 1_000_000
+ONCE = 32
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -64,24 +66,6 @@ class Chunk:
         self.inner = (near[self.last] > near[self.first]) | (self.last - self.first > k - m + 1)
 
 
-def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """A number for each word, equal exactly for equal words: hashes, proven by comparing each word with its hash's first."""
-    _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    lengths, model = ends - starts, at[inverse]
-    same = bool((lengths == lengths[model]).all())
-    step = 1 << 18
-    for i in range(0, len(starts) if same else 0, step):
-        own = lengths[i : i + step]
-        within = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-        if not (data[np.repeat(starts[i : i + step], own) + within] == data[np.repeat(starts[model[i : i + step]], own) + within]).all():
-            same = False
-            break
-    if same:
-        return inverse.astype(np.int64)
-    known: dict[bytes, int] = {}
-    return np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(starts, ends, strict=True)], dtype=np.int64)
-
-
 def later_windows(ids: np.ndarray, windows: np.ndarray, k: int) -> np.ndarray:
     """For windows (first word indexes into ids, in the order of their places): for each the position in windows of the first equal one."""
     matrix = np.lib.stride_tricks.sliding_window_view(ids, k)
@@ -137,15 +121,19 @@ def _chunks(batch: pa.RecordBatch, k: int, m: int) -> Iterator[tuple[np.ndarray,
 def hot_minimisers(texts: DataFrame, k: int, m: int) -> tuple[np.ndarray, int]:
     """Minimisers of very many super-k-mers and the bytes of all super-k-mers.
 
-    Each task reports what it met twice or more. A minimiser reaches a bound over all tasks only if its reports
-    reach half of it, as long as tasks are fewer than half the bound; at most 2 * HOT_KEYS can, whatever the data.
+    Each task reports what it met twice or more, and of what it met once every ONCE-th by a hash, for ONCE. So a
+    minimiser that reaches the bound over all tasks reaches half of it in reports, however thinly it is spread; at most
+    2 * HOT_KEYS can, whatever the data.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = size = 0
+        task = np.uint64(TaskContext.get().partitionId())
         values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def rows(v, c):
+            c = np.where((c == 1) & (mix(v + task) % np.uint64(ONCE) == 0), ONCE, c)
+            v, c = v[c > 1], c[c > 1]
             return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c), pa.array(np.zeros(len(v), np.int64))], names=["value", "n", "size"])
 
         for batch in batches:
@@ -154,13 +142,13 @@ def hot_minimisers(texts: DataFrame, k: int, m: int) -> tuple[np.ndarray, int]:
                 size += int((c.ends[c.last + k - 2] - c.starts[c.first]).sum())
                 values, inverse = np.unique(np.concatenate([values, c.value]), return_inverse=True)
                 counts = np.bincount(inverse, weights=np.concatenate([counts, np.ones(len(c.value), np.int64)]), minlength=len(values)).astype(np.int64)
-                if len(values) > 2_000_000:
-                    yield rows(values[counts > 1], counts[counts > 1])
+                if len(values) > 1_000_000:
+                    yield rows(values, counts)
                     values, counts = values[:0], counts[:0]
-        yield rows(values[counts > 1], counts[counts > 1])
+        yield rows(values, counts)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["value", "n", "size"])
 
-    seen = materialize(texts.mapInArrow(run, "value long, n long, size long").groupBy("value").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).where(f"value is null or n >= {HOT_COUNT // 2}"), "sub-seen")
+    seen = materialize(map_batches(texts, run, "value long, n long, size long").groupBy("value").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).where(f"value is null or n >= {HOT_COUNT // 2}"), "sub-seen")
     total = seen.where("value is null").first()
     if total is None:
         return np.zeros(0, np.uint64), 0
@@ -244,8 +232,8 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
         if blobs:
             yield spans_of(_later_spans(blobs, k))
 
-    dealt = texts.mapInArrow(deal, "bucket long, packed binary, spans binary")
-    return dealt.repartitionById(tasks, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(settle, "doc_id long, start long, stop long")
+    dealt = map_batches(texts, deal, "bucket long, packed binary, spans binary")
+    return map_batches(dealt.repartitionById(tasks, F.col("bucket").cast("int")).sortWithinPartitions("bucket"), settle, "doc_id long, start long, stop long")
 
 
 def _later_spans(blobs: list[bytes], k: int) -> np.ndarray:
@@ -305,20 +293,23 @@ def _squeezed(rows: DataFrame, text_col: str) -> DataFrame:
             texts = pa.array([None if (t := x.as_py()) is None else squeeze(t.encode()) for x in batch.column(at)], pa.binary())
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, T.BinaryType()) if i == at else f for i, f in enumerate(rows.schema.fields)]))
+    return map_batches(rows, run, T.StructType([T.StructField(f.name, T.BinaryType()) if i == at else f for i, f in enumerate(rows.schema.fields)]))
 
 
-def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, count: str | None = "n_removed") -> DataFrame:
     """docs with repeated windows removed: (id, n_words, n_removed, kept_sha256) with digest, else all columns of docs
-    with text replaced (kept words joined by a space; texts of which nothing goes stay as they are) and n_removed added.
+    with text replaced (kept words joined by a space; texts of which nothing goes stay as they are) and the number of
+    words removed added under the name count, if one is given, in place of a column of that name.
 
-    Null texts have no words and, without digest, stay null. Rows with a null id stay as they are.
+    Null texts have no words and, without digest, stay null. Rows with a null id stay as they are. Repeated rows get a
+    row each, treated alike: what one id's rows share starts no earlier in any of them. No rows give no rows.
     """
     spans = repeated_spans(docs, k, m, id_col, text_col)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).select(F.col("doc_id").alias("__id"), F.transform("spans", lambda s: s.start).alias("__starts"), F.transform("spans", lambda s: s.stop).alias("__stops"))
-    rows = docs.select(F.col(id_col), F.col(text_col)) if digest else docs
+    own, starts, stops = (free_name(docs, x) for x in ("__id", "__starts", "__stops"))
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).select(F.col("doc_id").alias(own), F.transform("spans", lambda s: s.start).alias(starts), F.transform("spans", lambda s: s.stop).alias(stops))
+    rows = docs.select(F.col(id_col), F.col(text_col)) if digest else docs.drop(*[count] * (count is not None))
     rows = rows.withColumn(text_col, F.col(text_col).cast("string"))
-    joined = _squeezed(rows, text_col).join(spans, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    joined = _squeezed(rows, text_col).join(spans, F.col(id_col).cast("long") == F.col(own), "left").drop(own)
     text_at, schema = rows.columns.index(text_col), rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,18 +344,20 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept_sha256"])
             else:
                 columns = [pa.array(kept, pa.binary()).cast(pa.string()) if i == text_at else batch.column(i) for i in range(batch.num_columns - 2)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=[*batch.schema.names[:-2], "n_removed"])
+                more = [] if count is None else [pa.array(removed, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *more], names=[*batch.schema.names[:-2], *[count] * len(more)])
 
     from pyspark.sql import types as T
 
     if digest:
         out = T.StructType([schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     else:
-        out = T.StructType([*schema.fields, T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(run, out)
+        out = T.StructType([*schema.fields, *[T.StructField(count, T.LongType())] * (count is not None)])
+    return map_batches(joined, run, out)
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of all documents; odd rows as remove_repeats says."""
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 

@@ -22,13 +22,15 @@ def exact(ids, x, q, k):
 
 
 @pytest.mark.parametrize("block", [300, 4096])
-def test_forest_recall_and_scores(spark, block):
+def test_forest_recall_and_scores(spark, monkeypatch, block):
+    monkeypatch.setattr(forest, "BLOCK_ROWS", block)
+    monkeypatch.setattr(forest, "RANGE_ROWS", block)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 32))
     x[100:400] = x[7] + 0.05 * rng.normal(size=(300, 32))  # one crowded place
     x[500] = x[501] = x[502]
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, id int")
-    got = forest.nearest(df, df.where("vec_id % 25 = 0"), k=5, block_rows=block).toPandas()
+    got = forest.nearest(df, df.where("vec_id % 25 = 0"), k=5).toPandas()
     hits = 0
     for q, g in got.groupby("query_id"):
         g = g.sort_values("rank")
@@ -106,7 +108,7 @@ def test_chain_feeds_earlier_probabilities():
     first = rng.integers(0, 2, n)
     rows = np.flatnonzero(first)
     y = np.stack([first, first], axis=1).astype(float)
-    chain = toxicity.fit_chain(rows, np.zeros(len(rows), np.int64), y, np.arange(n) % 5, np.array([5], np.uint64))
+    chain = toxicity.fit_chain(rows, np.zeros(len(rows), np.int64), np.stack([y] * 6), np.arange(n) % 5, np.ones((6, 1), bool), np.array([5], np.uint64))
     assert chain.weights[1, 1] > 0.5  # the second model uses the first one's probability
     p = chain.predict(np.array([0]), np.array([0]), 2)
     assert p[0, 1] > 0.8 > 0.2 > p[1, 1]

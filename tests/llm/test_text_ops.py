@@ -109,7 +109,6 @@ def test_a_debt_does_not_swing_back_and_forth():
     total = sum(n for *_, n in docs)
     share = {s: sum(n for _, t, n in docs if t == s) / total for s in sources}
     mixer = packing.Mixer(2048, lambda d, a, n, ids, seq, off: got.append((seq, docs[d][1], n)), share, {s: 2048.0 if s == "hot" else -300.0 for s in sources})
-    mixer.balance()
     for i, s, n in docs:
         mixer.add(i, s, struct.pack(f"<{n}H", *[7] * n))
     mixer.windows(last=True)

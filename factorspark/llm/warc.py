@@ -1,8 +1,8 @@
 """Operator 7: legacy archive converter, from ARC files to WARC files and back from these.
 
 ARC record headers of version 1 and 2 are parsed by their own field lists and declared lengths; equivalent WARC
-identifiers, timestamps, types and digests are synthesised. Archives are written with Spark's text writer, whose
-line separator is the end of a WARC record, and read as binary files.
+identifiers, timestamps, types and digests are synthesised. Archives are written with Spark's text writer: a line is a
+stretch of whole records of bounded bytes, its separator the end of a WARC record, and a file has a few lines.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import materialize, shared_dir, table
+from factorspark.llm.common import WRITTEN, map_batches, materialize, shared_dir, table
 
 # Fixed values of the ARC format: the field lists of a version's record header lines.
 FIELDS = {
@@ -27,6 +27,8 @@ FIELDS = {
     b"2": ("url", "ip", "date", "mime", "status", "checksum", "location", "offset", "filename", "length"),
 }
 LEAST_REVISIT = 100
+#: Bytes of a stretch (a longer record is one alone) and stretches of a file.
+STRETCH_BYTES, STRETCHES = 4 << 20, 8
 _IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 9562
 RECORD_END = "\r\n\r\n"
 
@@ -104,12 +106,13 @@ _ARROW = pa.schema([(n, {"string": pa.string(), "boolean": pa.bool_(), "binary":
 
 
 def convert_arcs(arcs: DataFrame, content_col: str = "content") -> DataFrame:
-    """One row of RECORD_SCHEMA for each record of ARC files, one file a row; null files give nothing."""
+    """One row of RECORD_SCHEMA for each record of ARC files, one file a row; null and empty files give nothing, repeated
+    files their records again; other columns are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches((convert(r) for b in batches for x in b.column(0) for r in parse_arc(x.as_py() or b"")), _ARROW)
 
-    return arcs.select(content_col).mapInArrow(run, RECORD_SCHEMA)
+    return map_batches(arcs.select(content_col), run, RECORD_SCHEMA)
 
 
 def mark_revisits(records: DataFrame, key: str, least_bytes: int = LEAST_REVISIT) -> DataFrame:
@@ -147,23 +150,43 @@ def _record(r: dict) -> bytes:
     return f"WARC/1.1\r\n{clean}\r\n".encode() + block
 
 
+def _info(first: dict) -> bytes:
+    """The warcinfo record of the file that begins with this record: the same whenever the file is written anew."""
+    body = b"software: factorspark\r\nformat: WARC File Format 1.1\r\n"
+    name = uuid.uuid5(_IDS, f"warcinfo {first['record_id']}")
+    return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
+
+
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes records (RECORD_SCHEMA, refers_to and refers_id) as gzipped WARC files into the folder path."""
+    """Writes records (RECORD_SCHEMA, refers_to and refers_id) as gzipped WARC files into the folder path.
+
+    Files are cut by bytes: STRETCHES stretches of some STRETCH_BYTES, each file with a warcinfo record first. No records give
+    files without any; repeated records are written again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info = b"software: factorspark\r\nformat: WARC File Format 1.1\r\n"
-        begun = False
+        parts: list[bytes] = []
+        size = n = 0
+
+        def line() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([RECORD_END.encode().join(parts)], pa.binary())], names=["r"])
+
         for batch in batches:
-            out = []
-            if not begun and batch.num_rows:
-                begun = True
-                out.append(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info)
+            names = batch.schema.names
             for i in range(batch.num_rows):
-                out.append(_record({n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["r"])
+                r = {name: batch.column(k)[i].as_py() for k, name in enumerate(names)}
+                if not parts and n % STRETCHES == 0:
+                    parts.append(_info(r))
+                parts.append(_record(r))
+                size += len(parts[-1])
+                if size >= STRETCH_BYTES:
+                    yield line()
+                    parts, size, n = [], 0, n + 1
+        if parts:
+            yield line()
 
-    lines = records.mapInArrow(run, "r binary").select(F.col("r").cast("string").alias("value"))
-    lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+    lines = map_batches(records, run, "r binary").select(F.col("r").cast("string").alias("value"))
+    lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", STRETCHES).text(path)
 
 
 READ_SCHEMA = "record_id string, record_type string, url string, date string, refers_to string, http binary, payload binary, payload_bytes long, payload_digest string"
@@ -198,18 +221,21 @@ def parse_warc(stream: io.BufferedIOBase, with_payload: bool = True) -> Iterator
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Rows of READ_SCHEMA from the WARC files (gzipped or plain) of a folder; each file is streamed."""
+    """Rows of READ_SCHEMA from the WARC files (gzipped or plain) of a folder. A file is a row of bytes, as write_warc bounds
+    them, and is expanded record by record. A folder without records gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
                 for x in b.column(0):
-                    raw = io.BytesIO(x.as_py())
-                    yield from parse_warc(gzip.GzipFile(fileobj=raw) if raw.getvalue()[:2] == b"\x1f\x8b" else raw, with_payload)
+                    raw = pa.BufferReader(x.as_buffer())  # no copy of the file
+                    packed = raw.read(2) == b"\x1f\x8b"
+                    raw.seek(0)
+                    yield from parse_warc(gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw), with_payload)
 
         yield from _batches(rows(), _READ)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ_SCHEMA)
+    return map_batches(spark.read.format("binaryFile").load(path).select("content"), run, READ_SCHEMA)
 
 
 # -- the query: pages as ARC files of both versions, converted, written and read ----------------------------------
@@ -245,7 +271,7 @@ def arcs_of_pages(pages: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["content"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "content binary")
+    return map_batches(pages.select("page_id", "url", "html"), run, "content binary")
 
 
 def page_key(http: str = "http"):
@@ -253,9 +279,12 @@ def page_key(http: str = "http"):
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all pages, read back from the archives. Null html is
+    empty, a null page_id is never referred to; repeated rows get a row each, of which all with the smallest id are responses."""
     records = convert_arcs(arcs_of_pages(table(spark, sf_dir, "pages"))).withColumn("key", page_key())
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(mark_revisits(records, "key").drop("key"), path)
+    WRITTEN.append(path)
     back = read_warc(spark, path, with_payload=False)
     return back.select(page_key().alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 

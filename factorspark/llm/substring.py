@@ -352,7 +352,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
     if digest:
         out = T.StructType([schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     else:
-        out = T.StructType([*schema.fields, *[T.StructField(count, T.LongType())] * (count is not None)])
+        out = T.StructType([*schema.fields, *([] if count is None else [T.StructField(count, T.LongType())])])
     return map_batches(joined, run, out)
 
 

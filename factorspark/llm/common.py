@@ -8,6 +8,7 @@ once its result is written (:func:`settled`).
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -69,13 +70,30 @@ def settled(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
+#: Bytes of a batch that a Python worker gets at once, if the session doesn't name fewer.
+BATCH_BYTES = 8 << 20
 #: Bytes of texts that are worked on at once: temporary arrays are some forty times as large.
 CHUNK = 1 << 20
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow, in one place for all operators."""
-    return df.mapInArrow(run, schema)
+    """mapInArrow with batches of bounded bytes (rows alone don't bound texts), in workers that give their memory back.
+
+    The bound is a session setting, which stays. Workers are used again and again: what the allocators keep of one
+    task would add up over workers, so it goes back to the system when the task ends.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -104,6 +122,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, mark: str, rows: int) ->
     return texts.join(F.broadcast(first), "doc_id").groupBy("doc_id", "mark").agg(F.min("text").alias("text"))
 
 
+def give_back() -> None:
+    """Returns free memory of this process to the system, where its C library can."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,8 +25,7 @@ def walk_forward(spark, d):
 
 
 def sweep_17(spark, d):
-    configs = {k: v for p, values in md.GRID.items() for k, v in md.sweep_configs(p, values).items()}
-    return md.tuning_log(spark, md.run_walk_forward(c.shared_panel(spark, d), c.TRAIN, 1, c.STEP, c.HORIZON, configs), configs)
+    return md.log_of(spark, c.shared_panel(spark, d), md.grid_configs(), train_months=c.TRAIN, step_months=c.STEP, horizon=c.HORIZON)
 
 
 def backtest(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +13,14 @@ from factorspark.functions.xsection import quantiles, ratio, value_bin
 from factorspark.operators.evaluate import information_coefficient
 from factorspark.operators.features import winsorized
 from factorspark.operators.folds import embargo, walk_forward_splits
-from factorspark.operators.lambdamart import Ranker
+from factorspark.operators.lambdamart import DEFAULTS, Bins, Ranker
 from factorspark.schemas import FEATURES, MODEL_INPUTS
 
 #: What a high value of each feature is taken to say about the next return.
 SIGNS = dict(zip(FEATURES, (-1.0, 1.0, 1.0, -1.0, -1.0, 1.0), strict=True))
 LEAST_TRAIN_ROWS = 100
+#: Groups into which the configurations of a fold are dealt at most: each gets the fold's rows once.
+SLICES = 4
 
 
 def composite(panel: DataFrame) -> DataFrame:
@@ -34,11 +38,15 @@ def training_labels(panel: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def usable_folds(panel: DataFrame, splits: DataFrame) -> DataFrame:
-    """Splits of folds with at least LEAST_TRAIN_ROWS training rows and any test row."""
+    """Splits of folds with at least LEAST_TRAIN_ROWS training rows and any test row.
+
+    They are found at once and kept by the driver, a row a fold and date: what follows joins them without counting anew.
+    """
     sizes = splits.join(panel.groupBy("date").agg(F.count("*").alias("n")), "date")
     count = lambda role: F.sum(F.when(F.col("role") == role, F.col("n")).otherwise(0))
     good = sizes.groupBy("fold").agg(count("train").alias("train"), count("test").alias("test")).where(f"train >= {LEAST_TRAIN_ROWS} and test > 0")
-    return splits.join(good.select("fold"), "fold", "left_semi")
+    rows = splits.join(good.select("fold"), "fold", "left_semi").orderBy("fold", "date").collect()
+    return panel.sparkSession.createDataFrame(rows, "fold int, role string, date date")
 
 
 def feature_ics(panel: DataFrame) -> DataFrame:
@@ -77,47 +85,52 @@ def diagnostics(scored: DataFrame) -> DataFrame:
     return windows.join(by_role, "fold").withColumn("gap", F.col("in_sample_ic") - F.col("oos_ic"))
 
 
-def run_walk_forward(panel: DataFrame, train_months: int = 60, test_months: int = 1, step_months: int = 1, horizon: int = 1, configs: dict[str, dict] | None = None, engine: str = "lambdamart") -> DataFrame:
-    """(label, fold, role, date, permno, fwd_ret, pred) of a ranking model fitted anew for each fold and configuration.
+def run_walk_forward(panel: DataFrame, train_months: int | None = 60, test_months: int = 1, step_months: int = 1, horizon: int = 1, configs: dict[str, dict] | None = None, engine: str = "lambdamart") -> DataFrame:
+    """(label, fold, role, date, permno, fwd_ret, pred, seconds) of a ranking model fitted anew for each fold and configuration;
+    seconds are those of the fit, the same on all its rows.
 
-    Folds and configurations are groups of one grouped map: they run in parallel, each in a task that holds one
-    training window. engine "xgboost" uses that library where it is installed.
+    A group of a grouped map is a fold with a slice of the configurations: a row is sent once for each slice, not
+    for each configuration, and a task holds one training window, cut into bins once. engine "xgboost" uses that
+    library where it is installed.
     """
     configs = configs or {"default": {}}
     splits = usable_folds(panel, walk_forward_splits(panel, train_months, test_months, step_months, embargo(horizon)))
     labelled = training_labels(panel).select("date", "permno", "fwd_ret", "label", *MODEL_INPUTS)
-    names = F.explode(F.array(*[F.lit(c) for c in configs]))
-    rows = labelled.join(splits, "date").withColumn("config", names)
+    names, slices = list(configs), min(len(configs), SLICES)
+    rows = labelled.join(splits, "date").withColumn("slice", F.explode(F.array(*[F.lit(k) for k in range(slices)])))
 
     def fit_predict(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["date", "permno"], kind="stable")
         train = pdf[pdf["role"] == "train"]
         lists = train.groupby("date", sort=True).size().to_numpy()
         x, y = train[list(MODEL_INPUTS)].to_numpy(np.float64), train["label"].to_numpy(np.float64)
-        params = configs[pdf["config"].iloc[0]]
-        fitted, predict = _ranker(engine, params, x, y, lists)
-        test = (pdf["role"] != "train").to_numpy()
-        out = pdf[["fold", "role", "date", "permno", "fwd_ret"]].copy()
-        out.insert(0, "label", pdf["config"].iloc[0])
-        pred = np.empty(len(pdf))
-        pred[~test], pred[test] = fitted, predict(pdf.loc[test, list(MODEL_INPUTS)].to_numpy(np.float64))
-        out["pred"] = np.round(pred, 10)
-        return out
+        test, bins, parts = (pdf["role"] != "train").to_numpy(), None if engine == "xgboost" else Bins(x), []
+        for name in names[int(pdf["slice"].iloc[0]) :: slices]:
+            began = time.perf_counter()
+            fitted, predict = _ranker(engine, configs[name], x, y, lists, bins)
+            seconds = time.perf_counter() - began
+            out = pdf[["fold", "role", "date", "permno", "fwd_ret"]].copy()
+            out.insert(0, "label", name)
+            pred = np.empty(len(pdf))
+            pred[~test], pred[test] = fitted, predict(pdf.loc[test, list(MODEL_INPUTS)].to_numpy(np.float64))
+            out["pred"], out["seconds"] = np.round(pred, 10), seconds
+            parts.append(out)
+        return pd.concat(parts)
 
     # A group is much work for few bytes: without a number of partitions adaptive execution would merge many into one task.
     session = panel.sparkSession
     tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
-    return rows.repartition(tasks, "config", "fold").groupBy("config", "fold").applyInPandas(fit_predict, "label string, fold int, role string, date date, permno int, fwd_ret double, pred double")
+    return rows.repartition(tasks, "slice", "fold").groupBy("slice", "fold").applyInPandas(fit_predict, "label string, fold int, role string, date date, permno int, fwd_ret double, pred double, seconds double")
 
 
-def _ranker(engine: str, params: dict, x: np.ndarray, y: np.ndarray, lists: np.ndarray):
+def _ranker(engine: str, params: dict, x: np.ndarray, y: np.ndarray, lists: np.ndarray, bins: Bins | None):
     """What the model gives on its training rows, and a function for others."""
     if engine == "xgboost":
         from xgboost import XGBRanker
 
         model = XGBRanker(objective="rank:ndcg", **params).fit(x, y, group=lists)
         return model.predict(x), model.predict
-    model = Ranker(**params).fit(x, y, np.concatenate([[0], np.cumsum(lists)]))
+    model = Ranker(**params).fit(x, y, np.concatenate([[0], np.cumsum(lists)]), bins)
     return model.fitted, model.predict
 
 
@@ -129,8 +142,9 @@ def predictions(scored: DataFrame) -> DataFrame:
 # -- tuning ----------------------------------------------------------------------------------------------------
 
 
-def tuning_log(spark: SparkSession, scored: DataFrame, configs: dict[str, dict], seconds: float | None = None) -> DataFrame:
-    """One row a configuration: mean, deviation and ratio of the folds' rank correlations, gap, and the list by fold."""
+def tuning_log(spark: SparkSession, scored: DataFrame, configs: dict[str, dict]) -> DataFrame:
+    """One row a configuration: its whole parameters, mean, deviation and ratio of the folds' rank correlations, gap, the list
+    by fold, and the seconds of its fits together (NULL where scored has no seconds)."""
     ic = information_coefficient(scored, ["label", "fold", "role", "date"])
     folds = ic.groupBy("label", "fold").agg(F.avg(F.when(F.col("role") == "train", F.col("ic"))).alias("ins"), F.avg(F.when(F.col("role") == "test", F.col("ic"))).alias("oos"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("fold", "oos"))), lambda x: F.round(x.oos, 4))
@@ -139,13 +153,21 @@ def tuning_log(spark: SparkSession, scored: DataFrame, configs: dict[str, dict],
         F.avg("ins").alias("in_sample_ic_mean"), F.avg(F.col("ins") - F.col("oos")).alias("gap_mean"), F.count("*").cast("int").alias("n_folds"), listed.alias("per_fold_oos_ic"),
     )
     params = [(k, {a: str(b) for a, b in v.items()}) for k, v in configs.items()]
-    named = spark.createDataFrame(params, "label string, model_params map<string,string>")
-    return named.join(out, "label").withColumn("seconds", F.lit(seconds).cast("double"))
+    named = spark.createDataFrame(params, "label string, model_params map<string,string>").join(out, "label")
+    if "seconds" not in scored.columns:
+        return named.withColumn("seconds", F.lit(None).cast("double"))
+    took = scored.groupBy("label", "fold").agg(F.max("seconds").alias("seconds")).groupBy("label").agg(F.round(F.sum("seconds"), 3).alias("seconds"))
+    return named.join(took, "label")
 
 
 def sweep_configs(param: str, values: list, base: dict | None = None) -> dict[str, dict]:
-    """One configuration a value, named param=value."""
-    return {f"{param}={v}": {**(base or {}), param: v} for v in values}
+    """One configuration a value, named param=value; what neither sets has the model's default."""
+    return {f"{param}={v}": {**DEFAULTS, **(base or {}), param: v} for v in values}
+
+
+def grid_configs(grid: dict[str, list] | None = None, base: dict | None = None) -> dict[str, dict]:
+    """The configurations of all sweeps of a grid."""
+    return {k: v for param, values in (grid or GRID).items() for k, v in sweep_configs(param, values, base).items()}
 
 
 #: The first tier of the reference's sweep.
@@ -154,8 +176,17 @@ GRID = {"max_depth": [2, 3, 4, 5, 6], "min_child_weight": [5, 15, 30, 60], "subs
 
 def sweep(spark: SparkSession, panel: DataFrame, param: str, values: list, base: dict | None = None, **walk) -> DataFrame:
     """All values of one parameter in one job over (configuration, fold)."""
-    configs = sweep_configs(param, values, base)
-    return tuning_log(spark, run_walk_forward(panel, configs=configs, **walk), configs)
+    return log_of(spark, panel, sweep_configs(param, values, base), **walk)
+
+
+def log_of(spark: SparkSession, panel: DataFrame, configs: dict[str, dict], **walk) -> DataFrame:
+    """The tuning log of configurations, fitted in one job over (fold, slice of the configurations)."""
+    # The fits are many times what their rows are to keep: without it each part of the log would fit anew.
+    scored = run_walk_forward(panel, configs=configs, **walk).persist()
+    log = tuning_log(spark, scored, configs)
+    rows = log.collect()  # a row a configuration
+    scored.unpersist()
+    return spark.createDataFrame(rows, log.schema)
 
 
 def append_log(log: DataFrame, path: str) -> None:

@@ -61,9 +61,16 @@ def port(s, d):
     return bt.final_returns(composite(s, d), BPS)
 
 
+#: The panel that the last query kept.
+_HELD: list[DataFrame] = []
+
+
 def shared_panel(s, d):
-    """The panel where a query reads it several times."""
-    return panel(s, d).persist()
+    """The panel where a query reads it several times. One is kept at a time: the next query releases it."""
+    while _HELD:
+        _HELD.pop().unpersist()
+    _HELD.append(panel(s, d).persist())
+    return _HELD[0]
 
 
 def splits(p):
@@ -458,8 +465,9 @@ def q42(s, d):
 
 @query("q43_sweep")
 def q43(s, d):
-    base = {"min_child_weight": 1.0, "n_estimators": 30}
-    return md.sweep(s, shared_panel(s, d), "max_depth", [2, 3], base, train_months=TRAIN, step_months=STEP, horizon=HORIZON)
+    """All 17 configurations of the grid, each with its own parameters and the model's defaults, in one job."""
+    configs = md.grid_configs()
+    return md.log_of(s, shared_panel(s, d), configs, train_months=TRAIN, step_months=STEP, horizon=HORIZON)
 
 
 @query("q44_tuning_log_shape", """
@@ -472,9 +480,10 @@ def q44(s, d):
     return rounded(log.select("n_folds", "oos_ic_mean", "oos_ic_std", "in_sample_ic_mean", "gap_mean", text.alias("per_fold_oos_ic")), 6)
 
 
-@query("q45_comparison_points")
+@query("q45_comparison_points", " UNION ALL ".join(f"SELECT construction, '{m}' AS metric, {m} AS gross, {net} AS net FROM compared" for m, net in [*((m, f"{m}_net") for m in plots.METRICS), ("turnover_mean", "CAST(NULL AS DOUBLE)")]),
+    compared=ORACLES["q39_compare_constructions"])
 def q45(s, d):
-    return plots.comparison_points(bt.compare_constructions(composite(s, d), FREQ, BPS), "construction")
+    return rounded(plots.comparison_points(bt.compare_constructions(composite(s, d), FREQ, BPS), "construction"), 7)
 
 
 @query("q46_ic_series", "SELECT date, round(ic + 1e-11, 8) AS ic, round(avg(ic) OVER () + 1e-11, 8) AS ic_mean FROM ic")
@@ -487,6 +496,12 @@ def q47(s, d):
     return rounded(bt.final_returns(composite(s, d), BPS))
 
 
+@query("q48_compare_with_bootstrap")
+def q48(s, d):
+    """The comparison of constructions with all its columns: 10,000 seeded draws for each series."""
+    return rounded(bt.compare_constructions(composite(s, d), FREQ, BPS, n_bootstrap=10_000), 7)
+
+
 def entry(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship plan: daily rows to leg returns of the composite's deciles."""
     return rounded(bt.portfolio_returns(deciled(spark, folder)))

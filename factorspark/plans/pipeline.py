@@ -47,7 +47,7 @@ def run(spark: SparkSession, data: str, out: str, settings: Settings | None = No
     paths = {n: f"{out}/{n}" for n in ("feature_panel", "predictions", "ic", "model_comparison", "construction_comparison", "portfolio_returns")}
     build_feature_panel(spark.read.parquet(f"{data}/prices.parquet"), spark.read.parquet(f"{data}/membership.parquet"), s.horizon).write.mode("overwrite").parquet(paths["feature_panel"])
     panel = spark.read.parquet(paths["feature_panel"])
-    LOG.info("panel %s", panel.agg(F.count("*"), F.min("date"), F.max("date"), F.countDistinct("permno")).first())
+    LOG.info("panel: %d rows from %s to %s, %d dates, %d entities", *panel.agg(F.count("*"), F.min("date"), F.max("date"), F.countDistinct("date"), F.countDistinct("permno")).first())
     if s.model == "composite":
         preds = composite(panel)
     else:
@@ -56,7 +56,7 @@ def run(spark: SparkSession, data: str, out: str, settings: Settings | None = No
     preds = spark.read.parquet(paths["predictions"])
     ic = information_coefficient(preds, ["date"])
     write_csv(ic.orderBy("date"), paths["ic"])
-    LOG.info("ic %s", summarize_ic(ic).first())
+    LOG.info("ic: mean %s, deviation %s, ratio %s over %d dates", *summarize_ic(ic).first())
     write_csv(compare_models(preds.withColumn("model", F.lit(s.model)), s.freq, s.cost_bps, s.n_bootstrap), paths["model_comparison"])
     write_csv(compare_constructions(preds, s.freq, s.cost_bps, s.n_bootstrap), paths["construction_comparison"])
     write_csv(final_returns(preds, s.cost_bps).orderBy("date"), paths["portfolio_returns"])
@@ -68,7 +68,10 @@ def tune(spark: SparkSession, panel_path: str, out: str, grid: dict[str, list] |
     panel = spark.read.parquet(panel_path).cache()
     walk = {"train_months": 60, "step_months": 3, "horizon": 3} | walk
     for param, values in (grid or GRID).items():
-        append_log(sweep(spark, panel, param, values, **walk), f"{out}/tuning_log")
+        log = sweep(spark, panel, param, values, **walk)
+        append_log(log, f"{out}/tuning_log")
+        for r in log.select("label", "oos_ic_mean", "oos_ic_std", "gap_mean", "seconds").collect():
+            LOG.info("%s: oos ic %s, deviation %s, gap %s, %s s", *r)
     write_csv(log_as_text(spark.read.parquet(f"{out}/tuning_log")), f"{out}/tuning_results")
     panel.unpersist()
     return f"{out}/tuning_log"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,24 +34,33 @@ def keep_first(rows: DataFrame, keys: Iterable[str], order: Iterable) -> DataFra
 def read_combined(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
     """The ten known columns as strings, with file and position for keep-first; other columns are never parsed.
 
-    Raises FileNotFoundError if no file matches.
+    Columns are taken by name: files may have them in different orders, and those with one header are one scan.
+    Raises FileNotFoundError if no file matches, ValueError if a file lacks a column.
     """
-    reader = spark.read.option("header", True).option("pathGlobFilter", pattern)
-    header = reader.csv(folder, enforceSchema=False) if _any_file(spark, folder, pattern) else None
-    if header is None:
+    files = _headers(spark, folder, pattern)
+    if not files:
         raise FileNotFoundError(f"no {pattern} in {folder}")
-    missing = [c for c in RAW_COLUMNS if c not in header.columns]
-    if missing:
-        raise ValueError(f"columns missing in {folder}: {missing}")
-    schema = StructType([StructField(c, StringType()) for c in header.columns])
-    rows = reader.schema(schema).csv(folder)
-    return rows.select(*[F.col(a).alias(b) for a, b in RAW_COLUMNS.items()], F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"))
-
-
-def _any_file(spark: SparkSession, folder: str, pattern: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
+    scans = []
+    for header, paths in files.items():
+        names = spark.read.option("header", True).csv(paths[0]).columns
+        missing = [c for c in RAW_COLUMNS if c not in names]
+        if missing:
+            raise ValueError(f"columns missing in {paths[0]}: {missing}")
+        rows = spark.read.option("header", True).schema(StructType([StructField(c, StringType()) for c in names])).csv(paths)
+        scans.append(rows.select(*[F.col(a).alias(b) for a, b in RAW_COLUMNS.items()], F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row")))
+    return functools.reduce(DataFrame.unionByName, scans)
+
+
+def _headers(spark: SparkSession, folder: str, pattern: str) -> dict[str, list[str]]:
+    """The matching files by their first line, which the driver reads of each."""
+    jvm, files = spark.sparkContext._jvm, {}
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(path) or ():
+        stream = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(status.getPath()), "UTF-8"))
+        files.setdefault(stream.readLine() or "", []).append(status.getPath().toString())
+        stream.close()
+    return files
 
 
 def membership_of(combined: DataFrame) -> DataFrame:
@@ -87,28 +97,40 @@ def membership_query(start: str, end: str, relation: str = "membership") -> str:
     return f"SELECT permno, mbrstartdt AS start, mbrenddt AS ending FROM {relation} WHERE mbrenddt >= DATE '{start}' AND mbrstartdt <= DATE '{end}'"
 
 
+#: Entities in one key list.
+KEYS = 500
+
+
+def key_lists(permnos: Iterable[int], most: int = KEYS) -> list[str]:
+    """Conditions that together hold for these entities, each for most of them: a part of a remote read each."""
+    keys = sorted({int(p) for p in permnos if p is not None})
+    return [f"permno IN ({', '.join(map(str, keys[i : i + most]))})" for i in range(0, len(keys), most)]
+
+
 def price_query(start: str, end: str, relation: str = "daily") -> str:
     return f"SELECT permno, date, prc, ret, vol, shrout, cfacpr, cfacshr FROM {relation} WHERE date BETWEEN DATE '{start}' AND DATE '{end}'"
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, column: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 1, **options: str) -> DataFrame:
-    """A query pushed to the database, read in parts over ranges of an integer column."""
-    reader = spark.read.format("jdbc").option("url", url).options(**options)
-    if column:
-        reader = reader.option("dbtable", f"({query}) q").option("partitionColumn", column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
-    else:
-        reader = reader.option("query", query)
-    return reader.load()
+def names_query(relation: str = "stocknames") -> str:
+    """Labels of entities and the days on which they hold."""
+    return f"SELECT permno, ticker, comnam, namedt, nameenddt FROM {relation}"
 
 
-def ingest_remote(spark: SparkSession, url: str, start: str, end: str, out: str, parts: int = 16, **options: str) -> dict[str, str]:
-    members = read_jdbc(spark, url, membership_query(start, end), **options)
-    paths = {"membership": f"{out}/membership.parquet", "prices": f"{out}/prices.parquet"}
-    members.write.mode("overwrite").parquet(paths["membership"])
-    members = spark.read.parquet(paths["membership"])
-    low, high = members.agg(F.min("permno"), F.max("permno")).first()
-    prices = read_jdbc(spark, url, price_query(start, end), "permno", (low or 0, (high or 0) + 1), parts, **options)
-    with_derived_prices(restrict_to(prices, members)).write.mode("overwrite").parquet(paths["prices"])
+def read_jdbc(spark: SparkSession, url: str, query: str, keys: list[str] | None = None, **options: str) -> DataFrame:
+    """A query pushed to the database; with keys, a part for each key list, which the database applies too."""
+    if keys is None:
+        return spark.read.format("jdbc").option("url", url).options(**options).option("query", query).load()
+    return spark.read.jdbc(url, f"({query}) q", predicates=keys or ["1 = 0"], properties=options)
+
+
+def ingest_remote(spark: SparkSession, url: str, start: str, end: str, out: str, read=read_jdbc, **options: str) -> dict[str, str]:
+    """Members, their prices and names as Parquet. What is read of prices and names is that of members alone: their key set, a
+    number an entity, is sent along in lists. read stands for the database in tests."""
+    paths = {n: f"{out}/{n}.parquet" for n in ("membership", "prices", "names")}
+    read(spark, url, membership_query(start, end), **options).write.mode("overwrite").parquet(paths["membership"])
+    keys = key_lists(r.permno for r in spark.read.parquet(paths["membership"]).select("permno").distinct().toLocalIterator())
+    with_derived_prices(read(spark, url, price_query(start, end), keys, **options)).write.mode("overwrite").parquet(paths["prices"])
+    read(spark, url, names_query(), keys, **options).write.mode("overwrite").parquet(paths["names"])
     return paths
 
 

@@ -113,8 +113,12 @@ def test_splits(spark):
         test = dates.index(g[g.role == "test"].date.iloc[0])
         assert max(map(dates.index, g[g.role == "train"].date)) == test - 3
     assert fo.walk_forward_splits(panel, 100).count() == 0
-    with pytest.raises(ValueError):
-        fo.walk_forward_splits(panel, 12, 2, 1)
+    growing = fo.walk_forward_splits(panel, None, 1, 4, 2).toPandas()
+    for k, g in growing.groupby("fold"):
+        test = dates.index(g[g.role == "test"].date.iloc[0])
+        assert test == 12 + 4 * k and sorted(map(dates.index, g[g.role == "train"].date)) == list(range(test - 2))
+    both = fo.walk_forward_splits(panel, 12, 2, 1).where("role = 'test'").toPandas()
+    assert both.groupby("fold").size().eq(2).all() and both.groupby("date").size().max() == 2 and both.fold.nunique() == 55
 
 
 def test_turnover_skips_dates_without_the_decile(spark):
@@ -161,6 +165,91 @@ def test_ranker_learns_an_order():
     assert len(Ranker(n_estimators=3).fit(x, label, starts).trees) == 3
 
 
+def test_first_split_is_the_best_of_all():
+    from factorspark.operators.lambdamart import RIDGE, Bins, Lists, gradients, grow
+
+    rng = np.random.default_rng(6)
+    x, label, starts = rng.normal(size=(240, 4)), rng.integers(0, 10, 240).astype(float), np.arange(0, 241, 60)
+    g, h = gradients(rng.normal(size=240), Lists(label, starts))
+    tree, fitted = grow(Bins(x), g, h, np.arange(240), np.arange(4), 1, 0.4, 0.1)
+    best = (0.0, -1, 0.0)
+    for c in range(4):
+        for cut in np.unique(np.quantile(x[:, c], np.linspace(0, 1, 65)[1:-1])):
+            left = x[:, c] <= cut
+            if min(h[left].sum(), h[~left].sum()) >= 0.4:
+                gain = g[left].sum() ** 2 / (h[left].sum() + RIDGE) + g[~left].sum() ** 2 / (h[~left].sum() + RIDGE) - g.sum() ** 2 / (h.sum() + RIDGE)
+                best = max(best, (gain, c, cut))
+    assert (tree.feature[0], tree.threshold[0]) == best[1:] and best[0] > 0
+    left = x[:, best[1]] <= best[2]
+    assert np.allclose(fitted, np.where(left, -0.1 * g[left].sum() / (h[left].sum() + RIDGE), -0.1 * g[~left].sum() / (h[~left].sum() + RIDGE)))
+
+
+def test_gradients_equal_pair_by_pair():
+    from factorspark.operators.lambdamart import PAIRS_OF_TOP, Lists, gradients
+
+    rng = np.random.default_rng(7)
+    score, label, starts = rng.normal(size=130), rng.integers(0, 4, 130).astype(float), np.array([0, 1, 41, 130])
+    g, h = gradients(score, Lists(label, starts))
+    want_g, want_h = np.zeros(130), np.zeros(130)
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        order = a + np.argsort(-score[a:b], kind="stable")
+        gain = 2.0 ** label[order] - 1
+        ideal = sum(w / np.log2(k + 2) for k, w in enumerate(sorted(gain, reverse=True)))
+        for i in range(min(PAIRS_OF_TOP, b - a)):
+            for j in range(i + 1, b - a):
+                if label[order[i]] != label[order[j]]:
+                    sign = np.sign(label[order[i]] - label[order[j]])
+                    delta = abs(gain[i] - gain[j]) * abs(1 / np.log2(i + 2) - 1 / np.log2(j + 2)) / ideal
+                    p = 1 / (1 + np.exp(sign * (score[order[i]] - score[order[j]])))
+                    want_g[order[i]] -= sign * p * delta
+                    want_g[order[j]] += sign * p * delta
+                    want_h[[order[i], order[j]]] += p * (1 - p) * delta
+    assert np.allclose(g, want_g, atol=1e-13) and np.allclose(h, want_h, atol=1e-13)
+
+
+def test_comparison_with_bootstrap_equals_the_test_of_each_series(spark):
+    from factorspark.operators.bootstrap import test_sharpe
+
+    folder = "/root/testdata/sf0.001"
+    got = catalogue.QUERIES["q48_compare_with_bootstrap"](spark, folder).toPandas().set_index("construction")
+    port = catalogue.port(spark, folder).toPandas().sort_values("date")
+    for name, gross, net in (("long_short", "ls_ret", "ls_ret_net"), ("long_only", "long_ret", "long_ret_net")):
+        for column, key in ((gross, "sharpe"), (net, "sharpe_net")):
+            want = test_sharpe(port[column].to_numpy(), catalogue.FREQ)
+            for part in ("ci_low", "ci_high", "p_value"):
+                assert got.loc[name, f"{key}_{part}"] == pytest.approx(want[f"sharpe_{part}"], abs=2e-7)
+
+
+def test_remote_reads_send_the_key_set(spark, tmp_path):
+    asked = []
+
+    def read(session, url, query, keys=None, **options):
+        asked.append((query, keys))
+        if "stocknames" in query:
+            return session.createDataFrame([(1, "A", "Alpha", DAY, DAY)], "permno int, ticker string, comnam string, namedt date, nameenddt date")
+        if "prc" in query:
+            return session.createDataFrame([(1, DAY, -2.0, 0.1, 3.0, 4.0, 1.0, 1.0)], "permno int, date date, prc double, ret double, vol double, shrout double, cfacpr double, cfacshr double")
+        return session.createDataFrame([(p, DAY, DAY) for p in range(1, 1202)], "permno int, start date, ending date")
+
+    out = src.ingest_remote(spark, "jdbc:none", "2020-01-01", "2020-12-31", str(tmp_path), read)
+    assert [k is None for _, k in asked] == [True, False, False] and len(asked[1][1]) == 3 and asked[1][1][2] == f"permno IN ({', '.join(map(str, range(1001, 1202)))})"
+    assert spark.read.parquet(out["prices"]).first().mkt_cap == 8000.0 and spark.read.parquet(out["names"]).first().ticker == "A"
+    assert src.key_lists([3, None, 1, 3], 1) == ["permno IN (1)", "permno IN (3)"]
+
+
+def test_csv_columns_are_read_by_name(spark, tmp_path):
+    names = ["PERMNO", "MbrStartDt", "MbrEndDt", "DlyCalDt", "DlyPrc", "DlyRet", "DlyVol", "ShrOut", "DlyCumFacPr", "DlyCumFacShr"]
+    values = dict(zip(names, ["1", "2020-01-01", "2020-12-31", "2020-01-02", "5", "0.1", "10", "2", "1", "1"], strict=True))
+    for k, order in enumerate((names, names[::-1])):
+        row = values | {"PERMNO": str(k + 1)}
+        (tmp_path / f"x_membership_prices_{k}.csv").write_text(",".join(order) + "\n" + ",".join(row[c] for c in order) + "\n")
+    got = src.prices_of(src.read_combined(spark, str(tmp_path))).collect()
+    assert sorted((r.permno, r.prc, r.ret, r.vol) for r in got) == [(1, 5.0, 0.1, 10.0), (2, 5.0, 0.1, 10.0)]
+    (tmp_path / "y_membership_prices.csv").write_text("PERMNO\n1\n")
+    with pytest.raises(ValueError):
+        src.read_combined(spark, str(tmp_path))
+
+
 def test_csv_ingest_keeps_the_first_row_in_file_order(spark, tmp_path):
     header = "EXTRA,PERMNO,MbrStartDt,MbrEndDt,DlyCalDt,DlyPrc,DlyRet,DlyVol,ShrOut,DlyCumFacPr,DlyCumFacShr\n"
     (tmp_path / "a_membership_prices_1.csv").write_text(header + "x,1,2020-01-01,2020-12-31,2020-01-02,-5,C,10,2,1,1\nx,1,2020-01-01,2020-12-31,2020-01-02,6,0.1,10,2,1,1\n")
@@ -241,6 +330,7 @@ def test_run_writes_every_result(spark, tmp_path):
     table = spark.read.option("header", True).csv(out["model_comparison"]).first()
     assert table.model == "composite" and float(table.sharpe_p_value) >= 0
     log = md.sweep(spark, spark.read.parquet(out["feature_panel"]), "max_depth", [1, 2], {"n_estimators": 3, "min_child_weight": 0.1}, train_months=36, step_months=6, horizon=3)
+    assert all(r.seconds > 0 and r.model_params["learning_rate"] == "0.01" for r in log.collect())
     md.append_log(log, f"{tmp_path}/log")
     md.append_log(log, f"{tmp_path}/log")
     assert spark.read.parquet(f"{tmp_path}/log").count() == 4

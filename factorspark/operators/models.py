@@ -117,10 +117,10 @@ def run_walk_forward(panel: DataFrame, train_months: int | None = 60, test_month
             parts.append(out)
         return pd.concat(parts)
 
-    # A group is much work for few bytes: without a number of partitions adaptive execution would merge many into one task.
-    session = panel.sparkSession
-    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
-    return rows.repartition(tasks, "slice", "fold").groupBy("slice", "fold").applyInPandas(fit_predict, "label string, fold int, role string, date date, permno int, fwd_ret double, pred double, seconds double")
+    # A group is much work for few bytes: each is a task of its own, where a hash would put several into one and none into others.
+    folds = (splits.agg(F.max("fold")).first()[0] or 0) + 1
+    rows = rows.withColumn("group", (F.col("fold") * slices + F.col("slice")).cast("int")).repartitionById(folds * slices, F.col("group"))
+    return rows.groupBy("group").applyInPandas(fit_predict, "label string, fold int, role string, date date, permno int, fwd_ret double, pred double, seconds double")
 
 
 def _ranker(engine: str, params: dict, x: np.ndarray, y: np.ndarray, lists: np.ndarray, bins: Bins | None):

@@ -87,7 +87,7 @@ def diagnostics(scored: DataFrame) -> DataFrame:
 
 def run_walk_forward(panel: DataFrame, train_months: int | None = 60, test_months: int = 1, step_months: int = 1, horizon: int = 1, configs: dict[str, dict] | None = None, engine: str = "lambdamart") -> DataFrame:
     """(label, fold, role, date, permno, fwd_ret, pred, seconds) of a ranking model fitted anew for each fold and configuration;
-    seconds are those of the fit, the same on all its rows.
+    seconds are those of the fit, the same on all its rows. Configurations of equal parameters share one fit.
 
     A group of a grouped map is a fold with a slice of the configurations: a row is sent once for each slice, not
     for each configuration, and a task holds one training window, cut into bins once. engine "xgboost" uses that
@@ -96,7 +96,8 @@ def run_walk_forward(panel: DataFrame, train_months: int | None = 60, test_month
     configs = configs or {"default": {}}
     splits = usable_folds(panel, walk_forward_splits(panel, train_months, test_months, step_months, embargo(horizon)))
     labelled = training_labels(panel).select("date", "permno", "fwd_ret", "label", *MODEL_INPUTS)
-    names, slices = list(configs), min(len(configs), SLICES)
+    fits = distinct_fits(configs)
+    slices = min(len(fits), SLICES)
     rows = labelled.join(splits, "date").withColumn("slice", F.explode(F.array(*[F.lit(k) for k in range(slices)])))
 
     def fit_predict(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -105,16 +106,17 @@ def run_walk_forward(panel: DataFrame, train_months: int | None = 60, test_month
         lists = train.groupby("date", sort=True).size().to_numpy()
         x, y = train[list(MODEL_INPUTS)].to_numpy(np.float64), train["label"].to_numpy(np.float64)
         test, bins, parts = (pdf["role"] != "train").to_numpy(), None if engine == "xgboost" else Bins(x), []
-        for name in names[int(pdf["slice"].iloc[0]) :: slices]:
+        for names in fits[int(pdf["slice"].iloc[0]) :: slices]:
             began = time.perf_counter()
-            fitted, predict = _ranker(engine, configs[name], x, y, lists, bins)
+            fitted, predict = _ranker(engine, configs[names[0]], x, y, lists, bins)
             seconds = time.perf_counter() - began
-            out = pdf[["fold", "role", "date", "permno", "fwd_ret"]].copy()
-            out.insert(0, "label", name)
             pred = np.empty(len(pdf))
             pred[~test], pred[test] = fitted, predict(pdf.loc[test, list(MODEL_INPUTS)].to_numpy(np.float64))
-            out["pred"], out["seconds"] = np.round(pred, 10), seconds
-            parts.append(out)
+            for name in names:
+                out = pdf[["fold", "role", "date", "permno", "fwd_ret"]].copy()
+                out.insert(0, "label", name)
+                out["pred"], out["seconds"] = np.round(pred, 10), seconds
+                parts.append(out)
         return pd.concat(parts)
 
     # A group is much work for few bytes: each is a task of its own, where a hash would put several into one and none into others.
@@ -123,6 +125,15 @@ def run_walk_forward(panel: DataFrame, train_months: int | None = 60, test_month
     return rows.groupBy("group").applyInPandas(fit_predict, "label string, fold int, role string, date date, permno int, fwd_ret double, pred double, seconds double")
 
 
+def distinct_fits(configs: dict[str, dict]) -> list[list[str]]:
+    """Names of configurations, those together whose whole parameters are equal (sweeps of several parameters all hold the
+    default once): a fit depends on parameters, seed and rows alone, so they share one."""
+    groups: dict[tuple, list[str]] = {}
+    for name, params in configs.items():
+        groups.setdefault(tuple(sorted((k, v if isinstance(v, int | float) else repr(v)) for k, v in (DEFAULTS | params).items())), []).append(name)
+    return list(groups.values())
+
+
 def _ranker(engine: str, params: dict, x: np.ndarray, y: np.ndarray, lists: np.ndarray, bins: Bins | None):
     """What the model gives on its training rows, and a function for others."""
     if engine == "xgboost":

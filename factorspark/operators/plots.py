@@ -18,6 +18,12 @@ def comparison_points(table: DataFrame, label: str) -> DataFrame:
     return table.select(label, F.explode(F.array(*rows)).alias("x")).select(label, "x.*")
 
 
+def sharpe_intervals(table: DataFrame, label: str) -> DataFrame:
+    """(label, cost, low, high, p_value): the bootstrap interval of each Sharpe ratio, gross and net; NULLs without a bootstrap."""
+    ends = [F.struct(F.lit(cost).alias("cost"), *[F.col(f"{p}_{c}").alias(a) for c, a in (("ci_low", "low"), ("ci_high", "high"), ("p_value", "p_value"))]) for cost, p in (("gross", "sharpe"), ("net", "sharpe_net"))]
+    return table.select(label, F.explode(F.array(*ends)).alias("x")).select(label, "x.*")
+
+
 def ic_series(ic: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, date, ic, ic_mean)."""
     mean = ic.groupBy(*keys).agg(F.avg("ic").alias("ic_mean"))
@@ -57,13 +63,17 @@ def draw_comparison(table: DataFrame, label: str, path: str) -> str:
     """A dumbbell from gross to net for each row and metric, as a PNG."""
     plt = _plotting()
     points = comparison_points(table, label).toPandas()  # a row a model and metric
+    spans = sharpe_intervals(table, label).dropna(subset=["low", "high"]).toPandas()  # two rows a model
     figure, axes = plt.subplots(1, points["metric"].nunique())
     for axis, (metric, g) in zip(axes, points.groupby("metric"), strict=True):
         names = [LABELS.get(x, x) for x in g[label]]
         axis.hlines(names, g["gross"], g["net"].fillna(g["gross"]))
         axis.plot(g["gross"], names, "o")
         axis.plot(g["net"], names, "o")
+        if metric == "sharpe":
+            axis.hlines([LABELS.get(x, x) for x in spans[label]], spans["low"], spans["high"], alpha=0.3)
         axis.set_title(metric)
+    figure.text(0, 0, "; ".join(f"{r[label]} {r['cost']}: p = {r['p_value']:.3f}" for _, r in spans.iterrows()))
     figure.savefig(path)
     return path
 

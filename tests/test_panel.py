@@ -336,6 +336,38 @@ def test_run_writes_every_result(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/log").count() == 4
 
 
+def test_tuning_appends_and_equal_configurations_share_a_fit(spark, tmp_path, caplog):
+    from factorspark.plans import pipeline
+
+    catalogue.panel(spark, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/panel")
+    grid = {"n_estimators": [2], "min_child_weight": [1, 30]}
+    with caplog.at_level("INFO", "factorspark"):
+        for _ in range(2):
+            pipeline.tune(spark, f"{tmp_path}/panel", str(tmp_path), grid, train_months=36, step_months=12)
+    rows = spark.read.option("header", True).csv(f"{tmp_path}/tuning_results").collect()
+    assert sorted(r.label for r in rows) == ["min_child_weight=1", "min_child_weight=1", "min_child_weight=30", "min_child_weight=30", "n_estimators=2", "n_estimators=2"]
+    assert spark.read.parquet(f"{tmp_path}/tuning_log").count() == 6 and "min_child_weight=30" in caplog.text
+
+
+def test_equal_configurations_share_a_fit(spark):
+    same = md.distinct_fits(md.grid_configs())
+    assert sum(map(len, same)) == 17 and len(same) == 14
+    assert ["max_depth=5", "min_child_weight=30", "subsample=1.0", "colsample_bytree=0.7"] in same
+    configs = {"a": {"n_estimators": 2, "min_child_weight": 1}, "b": {"n_estimators": 3, "min_child_weight": 1}, "c": {"min_child_weight": 1.0, "n_estimators": 2}}
+    panel = catalogue.panel(spark, "/root/testdata/sf0.001")
+    scored = md.run_walk_forward(panel, 36, 1, 12, 3, configs).toPandas()
+    by = {k: g.sort_values(["fold", "role", "date", "permno"])["pred"].to_numpy() for k, g in scored.groupby("label")}
+    alone = md.run_walk_forward(panel, 36, 1, 12, 3, {"c": configs["c"]}).toPandas().sort_values(["fold", "role", "date", "permno"])["pred"].to_numpy()
+    assert (by["a"] == by["c"]).all() and (by["c"] == alone).all() and not (by["a"] == by["b"]).all()
+
+
+def test_sharpe_intervals(spark):
+    from factorspark.operators import plots
+
+    table = spark.createDataFrame([("m", 0.1, 0.9, 0.02, 0.0, 0.8, 0.04)], "model string, sharpe_ci_low double, sharpe_ci_high double, sharpe_p_value double, sharpe_net_ci_low double, sharpe_net_ci_high double, sharpe_net_p_value double")
+    assert [tuple(r) for r in plots.sharpe_intervals(table, "model").collect()] == [("m", "gross", 0.1, 0.9, 0.02), ("m", "net", 0.0, 0.8, 0.04)]
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_catalogue_equals_sql(spark, name):
     folder = "/root/testdata/sf0.001"

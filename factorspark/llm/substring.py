@@ -88,23 +88,35 @@ def later_windows(ids: np.ndarray, windows: np.ndarray, k: int) -> np.ndarray:
 # -- the packed form of super-k-mers --------------------------------------------------------------------------
 
 
-def _pack(minimiser: np.ndarray, inner: np.ndarray, docs: np.ndarray, place: np.ndarray, parts: list[bytes]) -> bytes:
+#: Bytes kept of the columns of a packed group: of the minimiser three, which only say what may be equal.
+_HEAD = (("<u4", 3), ("<i8", 8), ("<u4", 4), ("u1", 1))
+_BREAKS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
+
+
+def _pack(minimiser: np.ndarray, docs: np.ndarray, place: np.ndarray, inner: np.ndarray, parts: list[bytes]) -> bytes:
+    """A group of super-k-mers as one frame: the columns byte by byte (first bytes, then second ones), then the texts, which
+    hold no line break, a line each."""
     import zstandard
 
-    sizes = np.array([len(p) for p in parts], dtype="<u4")
-    head = [np.array([len(parts)], "<u4"), minimiser.astype("<u4"), docs.astype("<i8"), place.astype("<i8"), sizes, inner.astype("u1")]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([*(h.tobytes() for h in head), b"\n".join(parts)]))
+    head = [np.array([len(parts)], "<u4").tobytes()]
+    for x, (kind, width) in zip((minimiser, docs, place, inner), _HEAD, strict=True):
+        head.append(np.ascontiguousarray(x.astype(kind).view("u1").reshape(len(parts), -1).T[:width]).tobytes())
+    return zstandard.ZstdCompressor(level=6).compress(b"".join([*head, b"\n".join(parts)]))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Minimisers (their low bytes), documents, places, repetition inside, the texts' bytes and their sizes."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, at, out = int(np.frombuffer(raw, "<u4", 1)[0]), 4, []
-    for kind in ("<u4", "<i8", "<i8", "<u4", "u1"):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += n * out[-1].itemsize
-    return (*out, np.frombuffer(raw, np.uint8, offset=at))
+    for kind, width in _HEAD:
+        column = np.zeros((n, np.dtype(kind).itemsize), "u1")
+        column[:, :width] = np.frombuffer(raw, "u1", n * width, at).reshape(width, n).T
+        out.append(column.view(kind).ravel())
+        at += n * width
+    data = np.frombuffer(raw, np.uint8, offset=at)
+    return (*out, data, np.diff(np.concatenate([[-1], np.flatnonzero(data == 10), [len(data)]])) - 1)
 
 
 def _text_column(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -179,7 +191,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
             for ids, c in _chunks(batch, k, m):
                 if not len(c.first):
                     continue
-                raw = c.data.tobytes()
+                raw = c.data.tobytes().translate(_BREAKS)
                 out: list[tuple[int, bytes, bytes]] = []
                 is_hot = np.zeros(len(c.first), dtype=bool)
                 if len(hot):
@@ -210,7 +222,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
                     if len(group):
                         parts = [raw[a:b] for a, b in zip(begin[group].tolist(), stop[group].tolist(), strict=True)]
                         low = value[group] & np.uint64(0xFFFFFFFF)
-                        out.append((int(bucket[group[0]]), _pack(low, inner[group], ids[text[group]], first[group] - c.bounds[text[group]], parts), b""))
+                        out.append((int(bucket[group[0]]), _pack(low, ids[text[group]], first[group] - c.bounds[text[group]], inner[group], parts), b""))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "packed", "spans"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +250,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
 
 def _later_spans(blobs: list[bytes], k: int) -> np.ndarray:
     """(doc, start, stop) of a bucket's windows that are not the first of their kind, runs of them merged."""
-    low, docs, place, sizes, inner, data = (list(x) for x in zip(*map(_unpack, blobs), strict=True))
+    low, docs, place, inner, data, sizes = (list(x) for x in zip(*map(_unpack, blobs), strict=True))
     # What a minimiser brings alone and without repetition inside needs no look at its words.
     flat = np.concatenate(low)
     _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
@@ -247,7 +259,7 @@ def _later_spans(blobs: list[bytes], k: int) -> np.ndarray:
         return np.zeros((0, 3), np.int64)
     pieces, at = [], 0
     for s, d in zip(sizes, data, strict=True):
-        stops = np.cumsum(s.astype(np.int64) + 1) - 1
+        stops = np.cumsum(s + 1) - 1
         for j in np.flatnonzero(wanted[at : at + len(s)]).tolist():
             pieces.append(d[stops[j] - s[j] : stops[j]])
         at += len(s)
@@ -263,7 +275,7 @@ def _later_spans(blobs: list[bytes], k: int) -> np.ndarray:
     of = np.repeat(np.arange(len(runs)), runs)
     within = np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs)
     model = later_windows(ids, bounds[of] + within, k)
-    where = place[of] + within
+    where = place[of].astype(np.int64) + within
     later = (model != np.arange(len(of))) & ((docs[of] != docs[of[model]]) | (where != where[model]))
     return _merged(docs[of[later]], where[later], k)
 

@@ -69,3 +69,20 @@ def test_hash_collisions_do_not_matter():
     ids = substring.exact_ids(data, starts, ends, np.zeros(4, np.uint64))
     assert ids[0] == ids[2] and len(set(ids.tolist())) == 3
     assert substring.sliding_min(np.array([5, 3, 4, 1, 9]), 3).tolist() == [3, 1, 1]
+
+
+def test_packed_groups_come_back():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 500):
+        low, docs, place, inner = rng.integers(0, 2**32, n, dtype=np.uint64), rng.integers(-(2**62), 2**62, n), rng.integers(0, 2**31, n), rng.random(n) < 0.5
+        parts = [bytes(rng.integers(32, 250, rng.integers(1, 60), dtype=np.uint8)) for _ in range(n)]
+        got = substring._unpack(substring._pack(low, docs, place, inner, parts))
+        want = (low & np.uint64(0xFFFFFF), docs, place, inner, np.frombuffer(b"\n".join(parts), np.uint8), [len(p) for p in parts])
+        assert all((np.asarray(a) == np.asarray(b)).all() for a, b in zip(got, want, strict=True))
+
+
+def test_windows_meet_whatever_space_parts_their_words(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [sep.join(words) for sep in (" ", "\n", "\t\x0b", "\r\n\x0c ")]
+    got = substring.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert got.n_removed.to_dict() == {0: 0, 1: 60, 2: 60, 3: 60}

@@ -269,8 +269,10 @@ def _later_spans(blobs: list[bytes], k: int) -> np.ndarray:
     pieces = [pieces[i] for i in order.tolist()]
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
     text = np.concatenate(pieces)
+    del data, pieces, sizes, inner, low, flat, inverse, counts, wanted  # as large as what follows
     starts, ends, bounds = scan_words(text, offsets)
     ids = exact_ids(text, starts, ends, hash_words(text, starts))
+    del text, starts, ends
     runs = np.diff(bounds) - k + 1
     of = np.repeat(np.arange(len(runs)), runs)
     within = np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs)

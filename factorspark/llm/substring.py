@@ -310,6 +310,18 @@ def _squeezed(rows: DataFrame, text_col: str) -> DataFrame:
     return map_batches(rows, run, T.StructType([T.StructField(f.name, T.BinaryType()) if i == at else f for i, f in enumerate(rows.schema.fields)]))
 
 
+def _without(text: bytes, starts: list[int] | None, stops: list[int] | None) -> tuple[int, int, bytes]:
+    """The number of a text's words, how many of them lie in the ranges, and the others joined by a space."""
+    words = text.split()
+    rest = words
+    if starts:
+        cover = np.zeros(len(words) + 1, dtype=np.int64)
+        np.add.at(cover, np.minimum(starts, len(words)), 1)
+        np.add.at(cover, np.minimum(stops, len(words)), -1)
+        rest = [w for w, c in zip(words, np.cumsum(cover)[:-1].tolist(), strict=True) if not c]
+    return len(words), len(words) - len(rest), b" ".join(rest)
+
+
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, count: str | None = "n_removed") -> DataFrame:
     """docs with repeated windows removed: (id, n_words, n_removed, kept_sha256) with digest, else all columns of docs
     with text replaced (kept words joined by a space; texts of which nothing goes stay as they are) and the number of
@@ -326,40 +338,32 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
     joined = _squeezed(rows, text_col).join(spans, F.col(id_col).cast("long") == F.col(own), "left").drop(own)
     text_at, schema = rows.columns.index(text_col), rows.schema
 
+    def rows_of(part: pa.RecordBatch, done: list[tuple[int, int, bytes | str | None]]) -> pa.RecordBatch:
+        n_words, removed, kept = zip(*done, strict=True)
+        if digest:
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept_sha256"])
+        columns = [pa.array(kept, pa.binary()).cast(pa.string()) if i == text_at else part.column(i) for i in range(part.num_columns - 2)]
+        more = [] if count is None else [pa.array(removed, pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, *more], names=[*part.schema.names[:-2], *[count] * len(more)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows go out once their texts reach _CHUNK bytes: a batch bounds texts as packed, which may be a thousandth of them."""
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts, starts, stops = batch.column(text_at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            n_words, removed, kept = [], [], []
-            for t, a, b in zip(texts, starts, stops, strict=True):
-                t, a, b = t.as_py(), a.as_py(), b.as_py()
+            done, first, size = [], 0, 0
+            for i, row in enumerate(zip(batch.column(text_at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True)):
+                t, a, b = (x.as_py() for x in row)
                 t = None if t is None else expand(t)
-                if t is None or (not a and not digest):
-                    n_words.append(0)
-                    removed.append(0)
-                    kept.append(hashlib.sha256(b"").hexdigest() if digest else t)
-                    continue
-                words = t.split()
-                if a:
-                    gone = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(gone, np.minimum(a, len(words)), 1)
-                    np.add.at(gone, np.minimum(b, len(words)), -1)
-                    left = np.cumsum(gone)[:-1] == 0
-                    rest = [w for w, k_ in zip(words, left.tolist(), strict=True) if k_]
-                else:
-                    rest = words
-                n_words.append(len(words))
-                removed.append(len(words) - len(rest))
-                joined_ = b" ".join(rest)
-                kept.append(hashlib.sha256(joined_).hexdigest() if digest else joined_)
-            if digest:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept_sha256"])
-            else:
-                columns = [pa.array(kept, pa.binary()).cast(pa.string()) if i == text_at else batch.column(i) for i in range(batch.num_columns - 2)]
-                more = [] if count is None else [pa.array(removed, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, *more], names=[*batch.schema.names[:-2], *[count] * len(more)])
+                n = gone = 0
+                if t is not None and (a or digest):
+                    n, gone, t = _without(t, a, b)
+                done.append((n, gone, hashlib.sha256(t or b"").hexdigest() if digest else t))
+                size += 0 if digest or t is None else len(t)
+                if size >= _CHUNK or i + 1 == batch.num_rows:
+                    yield rows_of(batch.slice(first, i + 1 - first), done)
+                    done, first, size = [], i + 1, 0
 
     from pyspark.sql import types as T
 

@@ -86,3 +86,14 @@ def test_windows_meet_whatever_space_parts_their_words(spark):
     texts = [sep.join(words) for sep in (" ", "\n", "\t\x0b", "\r\n\x0c ")]
     got = substring.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
     assert got.n_removed.to_dict() == {0: 0, 1: 60, 2: 60, 3: 60}
+
+
+def test_rows_go_out_piece_by_piece(spark, monkeypatch):
+    rows = corpus(3) + [(2000 + i, "same word " * (3_000 * i)) for i in range(4)]
+    df = spark.createDataFrame([(i, t, j) for j, (i, t) in enumerate(rows)], "doc_id long, text string, n long").coalesce(1)
+    whole = sorted(substring.remove_repeats(df).collect(), key=lambda r: r.n)
+    monkeypatch.setattr(substring, "_CHUNK", 100)
+    assert sorted(substring.remove_repeats(df).collect(), key=lambda r: r.n) == whole and len(whole) == len(rows)
+    want = {i: (b" ".join(kept).decode(), n - len(kept)) for i, n, kept in brute(rows, 20)}
+    assert all((r.text, r.n_removed) == want[r.doc_id] for r in whole if r.n_removed)
+    assert all(want[r.doc_id][1] == 0 for r in whole if not r.n_removed)

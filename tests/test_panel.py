@@ -361,6 +361,34 @@ def test_equal_configurations_share_a_fit(spark):
     assert (by["a"] == by["c"]).all() and (by["c"] == alone).all() and not (by["a"] == by["b"]).all()
 
 
+def test_long_lists_share_one_table_of_gaps():
+    """Dates of many and different sizes: what a fit keeps beside its rows is one table, and a byte a value."""
+    import tracemalloc
+
+    from factorspark.operators.lambdamart import PAIRS_OF_TOP, Bins, Lists
+
+    rng = np.random.default_rng(8)
+    starts = np.concatenate([[0], np.cumsum(5_000 + np.arange(30))])
+    label, x = rng.integers(0, 10, starts[-1]).astype(float), rng.normal(size=(starts[-1], 3))
+    tracemalloc.start()
+    lists, bins = Lists(label, starts), Bins(x)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(lists.parts) == 30 and bins.own.nbytes == x.size
+    assert held < 2 * 8 * PAIRS_OF_TOP * 5_029 + 2 * label.nbytes
+
+
+def test_rows_in_bins_go_where_their_values_go():
+    from factorspark.operators.lambdamart import Bins
+
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(400, 3)), 1)  # many values equal to a cut
+    bins = Bins(x)
+    model = Ranker(min_child_weight=0.1, learning_rate=0.1, n_estimators=5, subsample=0.6).fit(None, rng.integers(0, 10, 400).astype(float), np.arange(0, 401, 100), bins)
+    assert all((t.predict(x) == t.predict_binned(bins.own)).all() for t in model.trees) and (model.fitted == model.predict(x)).all()
+    assert len({len(t.value) for t in model.trees} - {1})
+
+
 def test_sharpe_intervals(spark):
     from factorspark.operators import plots
 

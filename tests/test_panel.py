@@ -389,6 +389,21 @@ def test_rows_in_bins_go_where_their_values_go():
     assert len({len(t.value) for t in model.trees} - {1})
 
 
+def test_correlations_of_a_walk_are_those_of_its_rows(spark, monkeypatch):
+    """A sweep keeps a row for each date, fold and configuration, whatever the number of entities."""
+    configs = {"a": {"n_estimators": 3, "min_child_weight": 0.1}, "b": {"n_estimators": 3, "min_child_weight": 0.1, "subsample": 0.6}, "flat": {"n_estimators": 0}}
+    panel = catalogue.panel(spark, "/root/testdata/sf0.001").persist()
+    rows = md.run_walk_forward(panel, 36, 1, 12, 3, configs)
+    want = {tuple(r)[:4]: r.ic for r in information_coefficient(rows, ["label", "fold", "role", "date"]).collect()}
+    for sent in (md.SENT_ROWS, 1):  # several slices, and one
+        monkeypatch.setattr(md, "SENT_ROWS", sent)
+        got = {tuple(r)[:4]: r.ic for r in md.walk_forward_ics(panel, 36, 1, 12, 3, configs).collect()}
+        assert got.keys() == want.keys() and len(got) > 100
+        assert all(got[k] is None if v is None else abs(got[k] - v) < 1e-12 for k, v in want.items())
+        assert {got[k] for k in got if k[0] == "flat"} == {None}
+    panel.unpersist()
+
+
 def test_sharpe_intervals(spark):
     from factorspark.operators import plots
 

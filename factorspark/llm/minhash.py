@@ -26,6 +26,8 @@ BUCKETS, BAND = 128, 4
 MANTISSA_BITS = 10
 MARGIN = 0.2
 BLOCK_ROWS, BLOCK_BYTES = 128, 8 << 20
+#: A component of more blocks is compared across them in so many groups of blocks, or as many as BLOCK_BYTES asks for.
+GROUPS = 32
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 2**63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, BUCKETS, dtype=np.uint64)
@@ -336,8 +338,10 @@ def _alone(large: DataFrame, wide: str, n: int) -> DataFrame:
 def _across_blocks(large: DataFrame, links: DataFrame, wide: str, percent: int, n: int) -> DataFrame:
     """Links between different blocks of a component that the pivots have not already joined.
 
-    What is left is compared, in slices of bounded size, with every other block of its component.
+    What is left is compared, in slices of bounded size, with every other block of its component. Texts are sent once
+    for each slice or block, so a component of very many blocks is dealt in groups of them instead, still bounded by bytes.
     """
+    groups = lambda n: F.greatest(F.least(n, F.lit(GROUPS)), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
     part = components(links).select(F.col("id").alias("doc_id"), "component")
     state = large.join(part, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
     main = materialize(state.where("doc_id = pivot0").select("cluster", F.col("part").alias("main")).distinct(), "nd-main")
@@ -346,11 +350,13 @@ def _across_blocks(large: DataFrame, links: DataFrame, wide: str, percent: int,
     partner = F.greatest("least", "common")
     rest = rest.where(100 * F.col("common") >= percent * (F.col("n") + partner - F.col("common")))
     rest = materialize(rest.select("cluster", "block", "blocks", "doc_id", "size", "bands", "text"), "nd-rest")
-    slices_ = rest.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("slices"))
-    slices_ = materialize(slices_, "nd-slices")
-    probes = rest.join(slices_, "cluster").select("cluster", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"), F.pmod(F.xxhash64("doc_id", F.lit(3)), "slices").cast("int").alias("slice"), "doc_id", F.lit(0).alias("role"), "bands", "text", "block")
-    probes = probes.where("other <> block").drop("block").withColumnRenamed("other", "block")
-    base = large.join(slices_, "cluster").select("cluster", "block", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), "doc_id", F.lit(1).alias("role"), "bands", "text")
+    slices_ = rest.groupBy("cluster").agg(groups(F.ceil(F.count("*") / BLOCK_ROWS)).alias("slices"))
+    slices_ = materialize(slices_.join(large.groupBy("cluster").agg(groups(F.max("blocks")).alias("groups")), "cluster"), "nd-slices")
+    grouped = F.pmod("block", F.least("groups", "blocks")).cast("int")
+    probes = rest.join(slices_, "cluster").select("cluster", F.explode(F.expr("sequence(0, least(groups, blocks) - 1)")).alias("other"), F.pmod(F.xxhash64("doc_id", F.lit(3)), "slices").cast("int").alias("slice"), "doc_id", F.lit(0).alias("role"), "bands", "text", "block", "groups", "blocks")
+    # A group of several blocks is also compared with the sets left over of its own blocks.
+    probes = probes.where("groups < blocks or other <> block").drop("block", "groups", "blocks").withColumnRenamed("other", "block")
+    base = large.join(slices_, "cluster").select("cluster", grouped.alias("block"), F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), "doc_id", F.lit(1).alias("role"), "bands", "text")
     return materialize(_links(base.unionByName(probes), ["cluster", "block", "slice"], wide, percent, n, probed=True), "nd-across")
 
 

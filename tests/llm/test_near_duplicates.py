@@ -58,6 +58,18 @@ def test_components_equal_all_pairs(spark, monkeypatch, n, block):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (size, component, component == i), i
 
 
+def test_many_blocks_are_compared_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(minhash, "GROUPS", 3, raising=False)
+    dealt, links, across = {}, minhash._links, minhash._across_blocks
+    monkeypatch.setattr(minhash, "_links", lambda rows, *a, **b: (dealt.update(rows=rows.count()) if b.get("probed") else None, links(rows, *a, **b))[1])
+    monkeypatch.setattr(minhash, "_across_blocks", lambda large, *a: (dealt.update(large=large.count()), across(large, *a))[1])
+    rows = corpus(2)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=2).collect()}
+    assert got == {i: component for i, (_, component) in brute(rows, 2, 80).items()}
+    assert 0 < dealt["rows"] <= 2 * 3 * dealt["large"]  # every text at most once for each group and each slice
+
+
 def test_repeated_null_and_no_rows(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (3, None), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

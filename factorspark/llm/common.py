@@ -20,7 +20,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that a task decodes at once from Parquet: texts may have 100 KB and more each. Bytes that it holds of a row group it writes.
+READ_ROWS, GROUP_BYTES = 256, 16 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds what a task's JVM holds of texts while it reads and writes Parquet, by session settings, which stay; smaller ones are kept.
+
+    Row groups are read into the heap and not by vectored reads, whose direct buffers come on top of it, as large as the
+    heap once more, and go only when garbage happens to be collected.
+    """
+    conf, block = spark.conf, "parquet.block.size"
+    if int(conf.get(rows := "spark.sql.parquet.columnarReaderBatchSize")) > READ_ROWS:
+        conf.set(rows, str(READ_ROWS))
+    if int(conf.get(block, None) or spark.sparkContext._jsc.hadoopConfiguration().getLong(block, 128 << 20)) > GROUP_BYTES:
+        conf.set(block, str(GROUP_BYTES))
+    conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     WRITTEN.append(path)
@@ -82,6 +102,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     The bound is a session setting, which stays. Workers are used again and again: what the allocators keep of one
     task would add up over workers, so it goes back to the system when the task ends.
     """
+    bounded(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(df.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))

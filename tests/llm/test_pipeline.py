@@ -81,3 +81,28 @@ def test_every_query_is_registered(spark):
     assert names == {f"op{k}" for k in range(1, 11)} and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.exists(corpus_pipeline.__file__)
+
+
+def test_row_groups_and_batches_are_bounded(spark, tmp_path):
+    """Tasks that read and write texts together would hold 128 MB of a row group and 4096 texts each."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from factorspark.llm.common import GROUP_BYTES, READ_ROWS, bounded, materialize, table
+
+    letters = np.random.default_rng(1).integers(97, 123, (500, 100_000), dtype=np.uint8)
+    pq.write_table(pa.table({"doc_id": range(500), "text": [row.tobytes().decode() for row in letters]}), tmp_path / "documents.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    out = materialize(docs.coalesce(1), "groups")
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in out.inputFiles()]
+    sizes = [f.row_group(k).total_byte_size for f in files for k in range(f.num_row_groups)]
+    assert sum(f.num_rows for f in files) == 500 and max(sizes) < 1.5 * GROUP_BYTES < sum(sizes)
+    assert out.exceptAll(docs).isEmpty()
+
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    assert int(spark.conf.get(rows)) == READ_ROWS
+    spark.conf.set(rows, "100")
+    bounded(spark)
+    assert spark.conf.get(rows) == "100"
+    spark.conf.set(rows, str(READ_ROWS))
